@@ -83,3 +83,29 @@ def inner_group_sql(k: int = 5, seed: int = 0, regime: str = "group") -> dict:
                   f"FROM gex JOIN tvr USING (repeat, fold, group_id) WHERE NOT gex.is_test "
                   f"UNION ALL SELECT '{regime}', CAST(repeat AS INTEGER), fold, row_id, 'test' FROM gex WHERE is_test",
     }
+
+
+METRIC_NAMES = ["MAE", "MSE", "RMSE", "R2", "LMI", "EAE", "VAF", "STD"]
+
+
+def metrics_sql(pred: str, keys: list[str]) -> dict:
+    """G1-G8 per keys over CTE ``pred`` (actual, predicted)."""
+    k = ", ".join(keys)
+    return {
+        "mb": f"SELECT {k}, avg(actual) AS ybar FROM {pred} GROUP BY {k}",
+        "agg": (f"SELECT {k}, count(*) AS n, avg(abs(predicted - actual)) AS MAE, "
+                f"avg((predicted - actual) * (predicted - actual)) AS MSE, "
+                f"sum((predicted - actual) * (predicted - actual)) AS sse, sum((actual - ybar) * (actual - ybar)) AS sst, "
+                f"sum(abs(predicted - actual)) AS sae, sum(abs(actual - ybar)) AS sad, "
+                f"avg(abs(predicted - actual) / greatest(abs(actual), 1e-9)) AS EAE, "
+                f"var_pop(predicted - actual) AS var_e, var_pop(actual) AS var_y, stddev_pop(predicted - actual) AS STD "
+                f"FROM {pred} JOIN mb USING ({k}) GROUP BY {k}"),
+        "met": (f"SELECT {k}, n, MAE, MSE, sqrt(MSE) AS RMSE, "
+                f"CASE WHEN n < 2 THEN NULL WHEN sst = 0 THEN CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - sse / sst END AS R2, "
+                f"CASE WHEN sad = 0 THEN NULL ELSE 1 - sae / sad END AS LMI, EAE, "
+                f"CASE WHEN var_y = 0 THEN NULL ELSE 100 * (1 - var_e / var_y) END AS VAF, STD FROM agg"),
+    }
+
+
+FIXTURE_PRED = ("SELECT 'fixture' AS model, 'raw' AS feature_set, f.regime, f.repeat, f.fold, f.split, f.row_id, "
+                "m.compressive_strength_mpa AS actual, 20.0 + m.ggbfs / 20.0 AS predicted FROM folds f JOIN mixv m USING (row_id)")
