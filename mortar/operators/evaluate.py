@@ -106,11 +106,15 @@ def loo_ols_predictions(features: DataFrame, cols: list[str], label: str, featur
     shift = shift_means(data, zc)
     g = collect_grams(gram_agg(data, zc, [], shift), [], len(zc))[()]
     p = len(cols)
-    gx = g[: p + 1, : p + 1]
+    n = g[0, 0]
+    sd = np.sqrt(np.maximum(np.diag(g)[1: p + 1] / n - (g[0, 1: p + 1] / n) ** 2, 0.0))
+    sd[sd == 0] = 1.0
+    d = np.concatenate([[1.0], 1.0 / sd])
+    gx = g[: p + 1, : p + 1] * np.outer(d, d)          # scale-free rank tolerance
     gxy = g[: p + 1, p + 1]
     w, v = np.linalg.eigh((gx + gx.T) / 2)
     keep = w > linear.PINV_RTOL * w.max()
-    a = (v[:, keep] / w[keep]) @ v[:, keep].T
+    a = ((v[:, keep] / w[keep]) @ v[:, keep].T) * np.outer(d, d)
     coef = a @ gxy
     xs = [F.lit(1.0)] + [F.col(c) - F.lit(float(s)) for c, s in zip(cols, shift[:-1])]
     fit = F.lit(0.0)

@@ -34,8 +34,13 @@ def _pinv_solve(a: np.ndarray, b: np.ndarray, rtol: float = PINV_RTOL) -> np.nda
 
 
 def fit_ols(m: Moments, **_) -> tuple[float, np.ndarray]:
-    """H1: least squares with intercept; minimum-norm solution on collinear features."""
-    return _finish(m, _pinv_solve(m.sxx, m.sxy))
+    """H1: least squares with intercept; minimum-norm solution on collinear features.
+
+    Solved in standardised coordinates so the rank tolerance is scale-free (a ratio
+    feature can be 1e11 when its denominator is zero); predictions are unaffected.
+    """
+    sd = _scale(m)
+    return _finish(m, _pinv_solve(m.sxx / np.outer(sd, sd), m.sxy / sd) / sd)
 
 
 def fit_ridge(m: Moments, alpha: float = 1.0, scaled: bool = True, **_) -> tuple[float, np.ndarray]:
