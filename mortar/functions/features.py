@@ -90,6 +90,25 @@ def prune(df: DataFrame, drop: list[str]) -> DataFrame:
     return df.drop(*[c for c in drop if c in df.columns])
 
 
+def serve_columns(kind: str, eps: float = EPS) -> dict[str, Column]:
+    """The 9 serving features of an app as named Columns over raw request columns."""
+    c = F.col
+    binder = c("flyash") + c("ggbfs")
+    common = {
+        "total_binder": binder,
+        "ggbfs_fraction": c("ggbfs") / (binder + F.lit(eps)),
+        "total_activator": c("na2sio3") + c("naoh"),
+    }
+    if kind == "strength":
+        return {**common, "na2sio3_naoh_ratio": c("na2sio3") / (c("naoh") + F.lit(eps)),
+                "naoh_molarity": c("naoh_molarity"), "w_b_ratio": c("water") / (binder + F.lit(eps)),
+                "curing_temp_c": c("curing_temp_c"), "curing_time_hr": c("curing_time_hr"), "sp": c("sp")}
+    aggregate = c("nca") + c("rca") + c("sand") + c("r_sand")
+    return {**common, "naoh_molarity": c("naoh_molarity"), "activator_binder_ratio": c("activator_binder_ratio"),
+            "w_b_ratio": c("water") / (binder + F.lit(eps)), "rca_fraction": c("rca") / (aggregate + F.lit(eps)),
+            "curing_time_hr": c("curing_time_hr"), "sp": c("sp")}
+
+
 def serve_features_strength(df: DataFrame, eps: float = EPS) -> DataFrame:
     """The strength app's 9 columns; the activator ratio is *derived* here (a
     train/serve skew the study carries: training uses the input column)."""
