@@ -52,8 +52,8 @@ def digest(df: pd.DataFrame) -> tuple[int, list[str], str]:
 
 def _key(v):
     v = _norm(v)
-    if isinstance(v, float):
-        return (1, round(v, 3), "")
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return (1, round(float(v), 3), "")
     if v is None:
         return (0, 0.0, "")
     return (2, 0.0, repr(v))
