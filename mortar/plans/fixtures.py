@@ -17,8 +17,9 @@ def random_folds(spark, sf, repeats: int = 5):
 
 
 def fixture_predictions(spark, sf):
+    from mortar.session import materialize
     m = mix_valid(spark, sf).select("row_id", F.col(TARGET).alias("actual"), "ggbfs")
-    f = random_folds(spark, sf)
+    f = materialize(random_folds(spark, sf))
     return f.join(m, "row_id").select(
         F.lit("fixture").alias("model"), F.lit("raw").alias("feature_set"), "regime", "repeat", "fold", "split",
         "row_id", "actual", (F.lit(20.0) + F.col("ggbfs") / F.lit(20.0)).alias("predicted"))

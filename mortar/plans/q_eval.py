@@ -14,6 +14,7 @@ from mortar.plans import sql_blocks as Q
 from mortar.plans.fixtures import fixture_predictions
 from mortar.plans.q_prep import KF_CTES
 from mortar.plans.registry import query, r6, round_sql, with_ctes
+from mortar.session import materialize
 from mortar.sources.tables import RAW_FEATURES, TARGET, mix_valid
 
 MKEYS = ["model", "feature_set", "regime", "repeat", "fold", "split"]
@@ -181,8 +182,8 @@ def study_frame(spark, sf, mode="engineered"):
 
 def gram_cv_summary(spark, sf, specs, regime="random", mode="engineered", feature_set="engineered_12"):
     base, feats, cols = study_frame(spark, sf, mode)
-    grouped = G.assign_groups(base) if regime == "group" else None
-    folds = S.fold_table(base, regime, 5, 5, 0, grouped=grouped)
+    grouped = materialize(G.assign_groups(base)) if regime == "group" else None
+    folds = materialize(S.fold_table(base, regime, 5, 5, 0, grouped=grouped))
     pred = EV.gram_cv_predictions(feats, folds, cols, TARGET, specs, feature_set)
     return r6(M.fold_summary(M.metrics_all(pred)))
 

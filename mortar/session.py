@@ -54,3 +54,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base.rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Cut lineage by writing ``df`` to the shared checkpoint folder (reliable checkpoint).
+
+    Used for tables that several later stages read (fold tables, group maps): they are
+    computed once, survive executor loss, and later plans start from the written files.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
