@@ -123,7 +123,7 @@ def greedy_pieces(runs: list[tuple], k_of: dict) -> list[tuple]:
 
 
 def group_kfold_assign(grouped: DataFrame, k: int = 5, partition_by: list[str] | tuple[str, ...] = (),
-                       cap_by_groups: bool = False, min_k: int = 1) -> DataFrame:
+                       cap_by_groups: bool = False, min_k: int = 1, out: str = "fold") -> DataFrame:
     """``(*partition_by, group_id, fold)`` exactly as the greedy group K-fold assigns.
 
     Groups are taken by size desc, ties by group code desc. Only the (partition, size,
@@ -154,7 +154,7 @@ def group_kfold_assign(grouped: DataFrame, k: int = 5, partition_by: list[str] |
     joined = ranked.join(pdf, on=["__part", "gsize"]).where(
         (F.col("__i") >= F.col("__start")) & (F.col("__i") < F.col("__end")))
     fold = F.element_at(F.col("__folds"), (F.pmod(F.col("__i") - F.col("__start"), F.col("__c")) + 1).cast("int"))
-    return joined.select(*parts, "group_id", fold.alias("fold"))
+    return joined.select(*parts, "group_id", fold.alias(out))
 
 
 def group_kfold(grouped: DataFrame, k: int = 5, id_col: str = "row_id") -> DataFrame:
@@ -225,8 +225,9 @@ def oof_folds_group(folds: DataFrame, grouped: DataFrame, inner_k: int = 5, min_
     """E6 (group): greedy group K-fold inside each outer train part, ``max(2, min(5, #groups))`` folds."""
     tr = folds.where(F.col("split") == "train").select("repeat", "fold", "row_id").join(
         grouped.select("row_id", "group_id"), "row_id")
-    gmap = group_kfold_assign(tr, inner_k, partition_by=["repeat", "fold"], cap_by_groups=True, min_k=min_k)
-    return tr.join(gmap.withColumnRenamed("fold", "inner_fold"), ["repeat", "fold", "group_id"]).select(
+    gmap = group_kfold_assign(tr, inner_k, partition_by=["repeat", "fold"], cap_by_groups=True, min_k=min_k,
+                              out="inner_fold")
+    return tr.join(gmap, ["repeat", "fold", "group_id"]).select(
         "repeat", "fold", "row_id", "inner_fold")
 
 
@@ -249,3 +250,10 @@ def leakage_audit(folds: DataFrame, grouped: DataFrame) -> DataFrame:
     return per.groupBy("regime", "repeat", "fold").agg(
         F.count_if((F.col("__in_test") == 1) & (F.col("__all_test") == 0)).alias("n_straddling"),
         F.count_if(F.col("__in_test") == 1).alias("n_test_groups"))
+
+
+def plain_folds(test_map: DataFrame, k: int, regime: str) -> DataFrame:
+    """F3 without an inner validation split: every non-test row is train."""
+    ex = _expand_folds(test_map, k)
+    return ex.select(F.lit(regime).alias("regime"), "repeat", "fold", "row_id",
+                     F.when(F.col("__is_test"), "test").otherwise("train").alias("split"))

@@ -107,3 +107,35 @@ def ood_zscore(features: DataFrame, folds: DataFrame, cols: list[str]) -> DataFr
     zs = [F.abs((F.col(c) - F.col(f"__m_{c}")) /
                 F.when(F.col(f"__s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"__s_{c}"))) for c in cols]
     return te.select("repeat", "fold", "row_id", F.greatest(*zs).alias("max_abs_z"))
+
+
+def vif_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """VIF per feature from one Gram pass: regress each column on the others (pinv,
+    intercept); ``R^2 >= 1 - 1e-12`` -> infinite (NULL VIF + ``is_infinite``)."""
+    import numpy as np
+    from mortar.operators import linear
+    from mortar.operators.gram import Moments, collect_grams, gram_agg, moments, shift_means
+    shift = shift_means(df, cols)
+    g = collect_grams(gram_agg(df, cols, [], shift), [], len(cols))[()]
+    n = g[0, 0]
+    s = g[0, 1:]
+    cov = g[1:, 1:] - np.outer(s, s) / n
+    rows = []
+    for i, c in enumerate(cols):
+        o = [j for j in range(len(cols)) if j != i]
+        m = Moments(n=n, mx=np.zeros(len(o)), my=0.0, sxx=cov[np.ix_(o, o)], sxy=cov[o, i], syy=cov[i, i])
+        _, beta = linear.fit_ols(m)
+        sse = m.syy - 2 * beta @ m.sxy + beta @ m.sxx @ beta
+        r2 = 1.0 - sse / m.syy if m.syy > 0 else 1.0
+        inf = r2 >= 1 - 1e-12
+        rows.append((c, None if inf else float(1.0 / (1.0 - r2)), bool(inf), float(r2)))
+    del moments
+    out = df.sparkSession.createDataFrame(rows, "feature string, VIF double, is_infinite boolean, R2_other double")
+    return out.orderBy(F.col("is_infinite").desc(), F.col("VIF").desc())
+
+
+def vif_summary(vif: DataFrame) -> DataFrame:
+    """F8: number over 10 (inf counts), number infinite, median VIF without the infinite ones."""
+    return vif.agg(F.count_if(F.col("is_infinite") | (F.col("VIF") > 10)).alias("n_over_10"),
+                   F.count_if(F.col("is_infinite")).alias("n_infinite"),
+                   F.median("VIF").alias("median_vif_finite"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mortar.plans import q_board, q_eval, q_prep, q_score, q_sources, q_tune  # noqa: F401
+from mortar.plans import q_board, q_eval, q_models, q_prep, q_score, q_sources, q_tune  # noqa: F401
 from mortar.plans.registry import CHECKS, ORACLES, QUERIES  # noqa: F401
 
 
