@@ -134,3 +134,98 @@ def loo_ols_predictions(features: DataFrame, cols: list[str], label: str, featur
     return ranked.select(F.lit(model).alias("model"), F.lit(feature_set).alias("feature_set"),
                          F.lit("loocv").alias("regime"), F.lit(0).alias("repeat"), F.col("fold").cast("int").alias("fold"),
                          F.lit("test").alias("split"), "row_id", F.col(label).alias("actual"), pred.alias("predicted"))
+
+
+def learning_curve(features: DataFrame, cols: list[str], label: str, k: int = 5,
+                   sizes: tuple[float, ...] = tuple(np.linspace(0.2, 1.0, 8)), spec: ModelSpec | None = None):
+    """nested train prefixes (row order) per contiguous fold, all sizes in one Gram pass.
+
+    A train row's rank inside fold f's train part is closed-form (folds are contiguous),
+    so each row lands in the smallest size bucket that contains it; cumulative sums of
+    the bucket Grams give every prefix Gram. -> (train_size, train/test R^2 mean/std).
+    """
+    from mortar.operators.rank import rank_by_numeric
+    from mortar.operators.splits import ntile_fold
+    spec = spec or ModelSpec("Linear Regression", "Linear Regression")
+    data = features.select("row_id", *cols, label)
+    zc = cols + [label]
+    shift = shift_means(data, zc)
+    ranked = rank_by_numeric(data, "row_id", out="pos", total_col="n")
+    n = int(ranked.select("n").first()["n"])
+    q, rem = divmod(n, k)
+    fold_size = [q + (1 if f < rem else 0) for f in range(k)]
+    starts = [sum(fold_size[:f]) for f in range(k)]
+    n_max = n - fold_size[0]
+    abs_sizes = sorted(set(int(s * n_max) for s in sizes))
+    rows = ranked.withColumn("tf", ntile_fold(F.col("pos"), F.col("n"), k)).withColumn(
+        "fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    start = F.element_at(F.array(*[F.lit(s) for s in starts]), F.col("fold") + 1)
+    size = F.element_at(F.array(*[F.lit(s) for s in fold_size]), F.col("fold") + 1)
+    trank = F.when(F.col("pos") < start, F.col("pos")).otherwise(F.col("pos") - size)
+    bucket = F.lit(len(abs_sizes))
+    for i in reversed(range(len(abs_sizes))):
+        bucket = F.when(trank < abs_sizes[i], F.lit(i)).otherwise(bucket)
+    rows = rows.withColumn("bucket", F.when(F.col("tf") == F.col("fold"), F.lit(-1)).otherwise(bucket))
+    g = collect_grams(gram_agg(rows.where(F.col("bucket") < len(abs_sizes)), zc, ["fold", "bucket"], shift),
+                      ["fold", "bucket"], len(zc))
+    out = []
+    zero = np.zeros((len(zc) + 1, len(zc) + 1))
+    for si, m in enumerate(abs_sizes):
+        tr_scores, te_scores = [], []
+        for f in range(k):
+            gtr = sum((g.get((f, b), zero) for b in range(si + 1)), zero.copy())
+            gte = g.get((f, -1), zero)
+            a, beta = linear.SOLVERS[spec.solver](moments(gtr), **spec.params)
+            for gg, acc in ((gtr, tr_scores), (gte, te_scores)):
+                ms = moments(gg)
+                w = np.concatenate([[-a], -beta, [1.0]])
+                sse = float(w @ gg @ w)
+                acc.append(1.0 - sse / ms.syy if ms.syy > 0 else 0.0)
+        out.append((int(m), float(np.mean(tr_scores)), float(np.std(tr_scores)), float(np.mean(te_scores)),
+                    float(np.std(te_scores))))
+    return features.sparkSession.createDataFrame(
+        out, "train_size int, train_r2_mean double, train_r2_std double, test_r2_mean double, test_r2_std double")
+
+
+def permutation_importance_linear(features: DataFrame, folds: DataFrame, cols: list[str], label: str,
+                                  spec: ModelSpec, n_repeats: int = 10, seed: int = 0) -> DataFrame:
+    """mean R^2 drop when one feature is permuted inside the test fold.
+
+    The model is fitted on each fold's non-test rows (one Gram pass). A permutation of
+    column j (repeat r) pairs the test row at position i (row order) with the row at
+    hash rank i - an equi-join on (fold, j, r, rank), never all pairs. For a linear model
+    the permuted prediction is ``pred + beta_j (x_perm - x)``.
+    """
+    from mortar.functions.hashing import h
+    from mortar.operators.rank import exact_row_number, rank_by_numeric
+    from mortar.functions.hashing import hash_bucket
+    spark = features.sparkSession
+    data = features.select("row_id", *cols, label)
+    plain = folds.select("regime", "repeat", "fold", "row_id",
+                         F.when(F.col("split") == "test", "test").otherwise("train").alias("split"))
+    coefs = fold_coefficients(features, plain, cols, label, [spec])
+    cdf = spark.createDataFrame(coefs, COEF_SCHEMA)
+    te = plain.where(F.col("split") == "test").join(data, "row_id").join(F.broadcast(cdf), FOLD_KEYS)
+    te = te.withColumn("pred", linear_predict(cols, F.col("b0"), F.col("beta")))
+    te = rank_by_numeric(te, "row_id", partition_by=["fold"], out="pos")
+    combos = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(r).alias("r"))
+                                 for j in range(len(cols)) for r in range(n_repeats)]))
+    ex = te.select("fold", "row_id", "pos", "pred", "beta", F.col(label).alias("y"),
+                   F.array(*[F.col(c) for c in cols]).alias("x"), combos.alias("jr")).select("*", "jr.j", "jr.r").drop("jr")
+    ex = ex.withColumn("__h", h(F.lit(seed), F.col("j"), F.col("r"), F.col("row_id")))
+    ex = exact_row_number(ex, [F.col("__h"), F.col("row_id")], hash_bucket(F.col("__h"), 8), ["fold", "j", "r"], out="hpos")
+    donor = ex.select("fold", "j", "r", F.col("hpos").alias("pos"),
+                      F.element_at(F.col("x"), F.col("j") + 1).alias("x_perm"))
+    j = ex.join(donor, ["fold", "j", "r", "pos"])
+    xj = F.element_at(F.col("x"), F.col("j") + 1)
+    bj = F.element_at(F.col("beta"), F.col("j") + 1)
+    ppred = F.col("pred") + bj * (F.col("x_perm") - xj)
+    sc = j.groupBy("fold", "j", "r").agg(
+        F.sum((F.col("y") - ppred) ** 2).alias("sse_p"), F.sum((F.col("y") - F.col("pred")) ** 2).alias("sse"),
+        F.avg("y").alias("ybar"), F.sum(F.col("y") ** 2).alias("yy"), F.count(F.lit(1)).alias("n"))
+    sst = F.col("yy") - F.col("n") * F.col("ybar") ** 2
+    drop = (F.lit(1.0) - F.col("sse") / sst) - (F.lit(1.0) - F.col("sse_p") / sst)
+    per_fold = sc.groupBy("fold", "j").agg(F.avg(drop).alias("imp"))
+    names = spark.createDataFrame(list(enumerate(cols)), "j int, feature string")
+    return per_fold.groupBy("j").agg(F.avg("imp").alias("importance")).join(F.broadcast(names), "j").select(
+        "feature", "importance").orderBy(F.col("importance").desc())

@@ -186,3 +186,21 @@ def poly_features(spark, sf):
     cols = fx.poly_columns(POLY_IN, 2, False) + [c for c, t in zip(fx.poly_columns(POLY_IN, 3, True),
                                                                      fx.poly_terms(POLY_IN, 3, True)) if len(t) == 3]
     return feats.select("row_id", *cols)
+
+
+@query("learning_curve", check="NP")
+def learning_curve(spark, sf):
+    """OLS learning curve, 8 sizes 20-100 %, contiguous 5-fold, one Gram pass."""
+    feats = fx.engineer(mix_valid(spark, sf), "engineered", TARGET)
+    return r6(EV.learning_curve(feats, fx.ENGINEERED_12, TARGET))
+
+
+@query("perm_importance", check="INV")
+def perm_importance(spark, sf):
+    """Ridge permutation importance averaged over group folds, 10 repeats."""
+    base = mix_valid(spark, sf)
+    grouped = materialize(G.assign_groups(base))
+    folds = materialize(S.fold_table(base, "group", grouped=grouped))
+    feats = fx.engineer(base, "engineered", TARGET)
+    return r6(EV.permutation_importance_linear(feats, folds, fx.ENGINEERED_12, TARGET,
+                                               EV.ModelSpec("Ridge", "Ridge", {"alpha": 1.0})))

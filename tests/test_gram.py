@@ -116,3 +116,47 @@ def test_cv_train_equals_total_minus_parts(spark, data):
         sx, sy = shift[:-1], shift[-1]
         assert np.allclose(beta, betad, rtol=1e-6, atol=1e-8)
         assert np.isclose(b0, b0d + sy - sx @ betad, rtol=1e-6, atol=1e-6)
+
+
+def test_learning_curve_matches_numpy(spark, data):
+    feats, cols, _, _ = data
+    pdf = feats.toPandas().sort_values("row_id")
+    x, y = pdf[cols].to_numpy(float), pdf[TARGET].to_numpy(float)
+    got = EV.learning_curve(feats, cols, TARGET).orderBy("train_size").toPandas()
+    n, k = len(y), 5
+    sizes_f = [n // k + (1 if f < n % k else 0) for f in range(k)]
+    starts = np.cumsum([0] + sizes_f[:-1])
+    n_max = n - sizes_f[0]
+    abs_sizes = sorted(set(int(s * n_max) for s in np.linspace(0.2, 1.0, 8)))
+    for i, m in enumerate(abs_sizes):
+        te_scores = []
+        for f in range(k):
+            test = np.arange(starts[f], starts[f] + sizes_f[f])
+            train = np.setdiff1d(np.arange(n), test)[:m]
+            b0, beta = linear.numpy_reference(x[train], y[train], "Linear Regression")
+            p = b0 + x[test] @ beta
+            te_scores.append(1 - ((y[test] - p) ** 2).sum() / ((y[test] - y[test].mean()) ** 2).sum())
+        assert got.train_size[i] == m
+        assert np.isclose(got.test_r2_mean[i], np.mean(te_scores), rtol=1e-6, atol=1e-6)
+
+
+def test_stack_fold_matches_numpy(spark):
+    """One outer fold of the Gram stack equals the row-level NumPy stack."""
+    from mortar.operators import splits as S
+    from mortar.operators import stacking as STK
+    from mortar.plans.q_models import META_RIDGE, STACK_BASES
+    base = mix_valid(spark, SF_SMALL)
+    feats = fx.engineer(base, "engineered", TARGET)
+    folds = S.fold_table(base, "random", 5, 1, 0).cache()
+    oof = S.oof_folds_random(folds, 5, 0).cache()
+    pred = STK.stack_predictions(feats, folds, oof, fx.ENGINEERED_12, TARGET, STACK_BASES, META_RIDGE, "s", "e")
+    got = pred.where("fold = 0 AND split = 'test'").select("row_id", "predicted").toPandas().set_index("row_id")
+    f0 = folds.where("fold = 0").toPandas()
+    io = oof.where("fold = 0").toPandas().set_index("row_id")["inner_fold"]
+    fp = feats.toPandas().set_index("row_id")
+    tr_ids = f0[f0.split == "train"].row_id.to_numpy()
+    te_ids = f0[f0.split == "test"].row_id.to_numpy()
+    ref = STK.numpy_stack_fold(fp.loc[tr_ids, fx.ENGINEERED_12].to_numpy(float), fp.loc[tr_ids, TARGET].to_numpy(float),
+                               io.loc[tr_ids].to_numpy(), fp.loc[te_ids, fx.ENGINEERED_12].to_numpy(float),
+                               STACK_BASES, META_RIDGE)
+    assert np.allclose(got.loc[te_ids, "predicted"].to_numpy(), ref, rtol=1e-5, atol=1e-5)
