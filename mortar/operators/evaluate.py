@@ -44,8 +44,11 @@ def linear_predict(cols: list[str], b0: Column, beta: Column) -> Column:
 
 
 def fold_coefficients(features: DataFrame, folds: DataFrame, cols: list[str], label: str,
-                      specs: list[ModelSpec]) -> list[tuple]:
-    """Steps 2-3: ``(model, regime, repeat, fold, b0, [beta])`` in original coordinates."""
+                      specs: list[ModelSpec], with_means: bool = False) -> list[tuple]:
+    """Steps 2-3: ``(model, regime, repeat, fold, b0, [beta])`` in original coordinates.
+
+    With ``with_means`` each row also carries the target mean of the fold's train / val /
+    test rows (read off the same Grams), so the metric pass needs no second aggregate."""
     data = features.select("row_id", *cols, label)
     zc = cols + [label]
     shift = shift_means(data, zc)
@@ -57,12 +60,14 @@ def fold_coefficients(features: DataFrame, folds: DataFrame, cols: list[str], la
     rows = []
     sx, sy = shift[:-1], shift[-1]
     for key in keys:
-        g_train = total - grams.get(key + ("test",), zero) - grams.get(key + ("val",), zero)
+        g_test, g_val = grams.get(key + ("test",), zero), grams.get(key + ("val",), zero)
+        g_train = total - g_test - g_val
         m = moments(g_train)
+        means = [float(g[0, -1] / g[0, 0] + sy) if g[0, 0] > 0 else None for g in (g_train, g_val, g_test)]
         for spec in specs:
             b0, beta = linear.SOLVERS[spec.solver](m, **spec.params)
-            rows.append((spec.name, key[0], int(key[1]), int(key[2]), float(b0 + sy - sx @ beta),
-                         [float(b) for b in beta]))
+            row = (spec.name, key[0], int(key[1]), int(key[2]), float(b0 + sy - sx @ beta), [float(b) for b in beta])
+            rows.append(row + tuple(means) if with_means else row)
     return rows
 
 
@@ -77,11 +82,15 @@ def gram_cv_predictions(features: DataFrame, folds: DataFrame, cols: list[str],
                         specs: list[ModelSpec], feature_set: str) -> DataFrame:
     """I1 for Gram models: the F4 prediction table for every spec and fold."""
     spark = features.sparkSession
-    coefs = spark.createDataFrame(fold_coefficients(features, folds, cols, label, specs), COEF_SCHEMA)
+    schema = T.StructType(COEF_SCHEMA.fields + [T.StructField(f"__m_{s}", T.DoubleType()) for s in ("train", "val", "test")])
+    coefs = spark.createDataFrame(fold_coefficients(features, folds, cols, label, specs, with_means=True), schema)
     data = features.select("row_id", *cols, F.col(label).alias("actual"))
     j = folds.join(data, "row_id").join(F.broadcast(coefs), FOLD_KEYS)
+    ybar = F.when(F.col("split") == "train", F.col("__m_train")).when(F.col("split") == "val", F.col("__m_val")) \
+        .otherwise(F.col("__m_test"))
     return j.select("model", F.lit(feature_set).alias("feature_set"), "regime", "repeat", "fold", "split",
-                    "row_id", "actual", linear_predict(cols, F.col("b0"), F.col("beta")).alias("predicted"))
+                    "row_id", "actual", linear_predict(cols, F.col("b0"), F.col("beta")).alias("predicted"),
+                    ybar.alias("__ybar"))
 
 
 def full_fit(features: DataFrame, cols: list[str], label: str, spec: ModelSpec) -> tuple[float, list[float]]:

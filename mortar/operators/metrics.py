@@ -20,12 +20,19 @@ def _null() -> Column:
     return F.lit(None).cast("double")
 
 
-def metrics_by(pred: DataFrame, keys: list[str]) -> DataFrame:
-    """G1-G8 per ``keys``: n, MAE, MSE, RMSE, R2, LMI, EAE, VAF, STD."""
+def metrics_by(pred: DataFrame, keys: list[str], use_means: bool = False) -> DataFrame:
+    """G1-G8 per ``keys``: n, MAE, MSE, RMSE, R2, LMI, EAE, VAF, STD.
+
+    ``use_means``: the rows carry ``__ybar``, the target mean of their (fold, split)
+    group, computed upstream (only valid when ``keys`` are the fold-level keys)."""
     err = F.col("predicted") - F.col("actual")
-    means = pred.groupBy(*keys).agg(F.avg("actual").alias("__ybar"))
-    # one row per group: bounded by the fold layout, joined back by key (AQE broadcasts it)
-    j = pred.join(means, keys)
+    if use_means and "__ybar" in pred.columns:
+        j = pred  # group means already attached (e.g. from the Gram pass): one pass only
+    else:
+        pred = pred.drop("__ybar")
+        means = pred.groupBy(*keys).agg(F.avg("actual").alias("__ybar"))
+        # one row per group: bounded by the fold layout, joined back by key (AQE broadcasts it)
+        j = pred.join(means, keys)
     dev = F.col("actual") - F.col("__ybar")
     agg = j.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
@@ -52,7 +59,7 @@ def metrics_by(pred: DataFrame, keys: list[str]) -> DataFrame:
 
 def metrics_all(pred: DataFrame) -> DataFrame:
     """All eight metrics per (model, feature_set, regime, repeat, fold, split)."""
-    return metrics_by(pred, [k for k in FOLD_KEYS if k in pred.columns])
+    return metrics_by(pred, [k for k in FOLD_KEYS if k in pred.columns], use_means=True)
 
 
 def metrics_pooled(pred: DataFrame) -> DataFrame:

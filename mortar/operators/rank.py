@@ -67,3 +67,30 @@ def range_bucket_by_width(col: Column, lo: int, hi: int, n_buckets: int) -> Colu
     """Equal-width buckets over a dense integer key range (used for dense ids)."""
     width = max(1, (hi - lo + 1 + n_buckets - 1) // n_buckets)
     return F.floor((col - F.lit(lo)) / F.lit(width)).cast("long")
+
+
+def assign_by_rank(df: DataFrame, order_by: list[Column], bucket: Column, partition_by: list[str] | tuple[str, ...],
+                   rank_fn, out: str) -> DataFrame:
+    """``out = rank_fn(rank, n)`` for a step function of the exact rank, ranking only where needed.
+
+    ``rank_fn`` must be monotone in the rank (fold = ntile, val = rank < n_val, ...). A
+    bucket whose first and last rank map to the same value is decided from its offset
+    alone; only rows of the few buckets that straddle a step (at most one per step and
+    partition key) are ranked exactly by a window. No sort of the whole table.
+    """
+    parts = list(partition_by)
+    b = df.withColumn("__bkt", bucket)
+    counts = b.groupBy(*parts, "__bkt").agg(F.count(F.lit(1)).alias("__cnt"))
+    w = Window.partitionBy(*parts).orderBy("__bkt")
+    off = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                                F.lit(0)))
+    off = off.withColumn("__n", F.sum("__cnt").over(Window.partitionBy(*parts)))
+    first = rank_fn(F.col("__off"), F.col("__n"))
+    last = rank_fn(F.col("__off") + F.col("__cnt") - 1, F.col("__n"))
+    off = off.select(*parts, "__bkt", "__off", "__n", first.alias("__v"), (first == last).alias("__clean"))
+    j = b.join(F.broadcast(off), on=[*parts, "__bkt"], how="inner")  # <= keys x buckets rows
+    clean = j.where(F.col("__clean")).withColumn(out, F.col("__v"))
+    dirty = j.where(~F.col("__clean"))
+    wb = Window.partitionBy(*parts, "__bkt").orderBy(*order_by)
+    dirty = dirty.withColumn(out, rank_fn(F.col("__off") + F.row_number().over(wb) - 1, F.col("__n")))
+    return clean.unionByName(dirty).drop("__bkt", "__off", "__n", "__v", "__clean")

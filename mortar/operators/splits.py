@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mortar.functions.hashing import h, hash_bucket
-from mortar.operators.rank import DEFAULT_BUCKET_BITS, exact_row_number, rank_by_numeric
+from mortar.operators.rank import DEFAULT_BUCKET_BITS, assign_by_rank, exact_row_number, rank_by_numeric
 
 VAL_FRAC = 0.2
 MAX_BROADCAST_PIECES = 2_000_000
@@ -49,13 +49,28 @@ def _hash_rank(df: DataFrame, hcol: Column, id_col: str, partition_by: list[str]
     return ranked.drop("__h")
 
 
+def _hash_assign(df: DataFrame, hcol: Column, id_col: str, partition_by: list[str], rank_fn, out: str) -> DataFrame:
+    tmp = df.withColumn("__h", hcol)
+    res = assign_by_rank(tmp, [F.col("__h"), F.col(id_col)], hash_bucket(F.col("__h"), DEFAULT_BUCKET_BITS),
+                         partition_by, rank_fn, out)
+    return res.drop("__h")
+
+
 # ----------------------------------------------------------------------------- E1
 def kfold(df: DataFrame, k: int = 5, repeats: int = 5, seed: int = 0, id_col: str = "row_id") -> DataFrame:
     """Repeated shuffled K-fold -> ``(repeat, row_id, fold)``; seed of repeat r is seed+r."""
     ids = df.select(F.col(id_col).alias("row_id")).withColumn(
         "repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    ranked = _hash_rank(ids, h(F.col("repeat") + F.lit(seed), F.col("row_id")), "row_id", ["repeat"], "__rn", "__n")
-    return ranked.select("repeat", "row_id", ntile_fold(F.col("__rn"), F.col("__n"), k).alias("fold"))
+    res = _hash_assign(ids, h(F.col("repeat") + F.lit(seed), F.col("row_id")), "row_id", ["repeat"],
+                       lambda r, n: ntile_fold(r, n, k), "fold")
+    return res.select("repeat", "row_id", "fold")
+
+
+def _hash_assign(df: DataFrame, hcol: Column, id_col: str, partition_by: list[str], rank_fn, out: str) -> DataFrame:
+    tmp = df.withColumn("__h", hcol)
+    res = assign_by_rank(tmp, [F.col("__h"), F.col(id_col)], hash_bucket(F.col("__h"), DEFAULT_BUCKET_BITS),
+                         partition_by, rank_fn, out)
+    return res.drop("__h")
 
 
 # ----------------------------------------------------------------------------- E10
@@ -178,9 +193,8 @@ def inner_random_split(test_map: DataFrame, k: int, seed: int = 0, frac: float =
     ex = _expand_folds(test_map, k)
     tv = ex.where(~F.col("__is_test"))
     hv = h(F.lit(seed), F.lit("v"), F.col("repeat"), F.col("fold"), F.col("row_id"))
-    ranked = _hash_rank(tv, hv, "row_id", ["repeat", "fold"], "__rn", "__n")
-    tv_split = ranked.select("repeat", "fold", "row_id",
-                             F.when(F.col("__rn") < n_val_of(F.col("__n"), frac), "val").otherwise("train").alias("split"))
+    val = lambda r, n: F.when(r < n_val_of(n, frac), "val").otherwise("train")
+    tv_split = _hash_assign(tv, hv, "row_id", ["repeat", "fold"], val, "split").select("repeat", "fold", "row_id", "split")
     test = ex.where(F.col("__is_test")).select("repeat", "fold", "row_id", F.lit("test").alias("split"))
     return tv_split.unionByName(test).select(F.lit(regime).alias("regime"), "repeat", "fold", "row_id", "split")
 
@@ -192,9 +206,9 @@ def inner_group_split(test_map: DataFrame, grouped: DataFrame, k: int, seed: int
     tv = ex.where(~F.col("__is_test"))
     tv_groups = tv.select("repeat", "fold", "group_id").distinct()
     hv = h(F.lit(seed), F.lit("g"), F.col("repeat"), F.col("fold"), F.col("group_id"))
-    ranked = _hash_rank(tv_groups, hv, "group_id", ["repeat", "fold"], "__rn", "__n")
-    gsplit = ranked.select("repeat", "fold", "group_id",
-                           F.when(F.col("__rn") < n_val_of(F.col("__n"), frac), "val").otherwise("train").alias("split"))
+    val = lambda r, n: F.when(r < n_val_of(n, frac), "val").otherwise("train")
+    gsplit = _hash_assign(tv_groups, hv, "group_id", ["repeat", "fold"], val, "split").select(
+        "repeat", "fold", "group_id", "split")
     tv_split = tv.join(gsplit, ["repeat", "fold", "group_id"]).select("repeat", "fold", "row_id", "split")
     test = ex.where(F.col("__is_test")).select("repeat", "fold", "row_id", F.lit("test").alias("split"))
     return tv_split.unionByName(test).select(F.lit(regime).alias("regime"), "repeat", "fold", "row_id", "split")
@@ -203,12 +217,13 @@ def inner_group_split(test_map: DataFrame, grouped: DataFrame, k: int, seed: int
 def fold_table(df: DataFrame, regime: str, k: int = 5, repeats: int = 5, seed: int = 0,
                grouped: DataFrame | None = None) -> DataFrame:
     """F3 for a regime: ``random`` (E1+E4) or ``group`` (E2+E5; repeats forced to 1)."""
+    from mortar.session import materialize
     if regime == "random":
-        return inner_random_split(kfold(df, k, repeats, seed), k, seed)
+        return inner_random_split(materialize(kfold(df, k, repeats, seed)), k, seed)
     if regime == "group":
         if grouped is None:
             raise ValueError("group regime needs group ids")
-        return inner_group_split(group_kfold(grouped, k), grouped, k, seed)
+        return inner_group_split(materialize(group_kfold(grouped, k)), grouped, k, seed)
     raise ValueError(f"unknown regime {regime!r}")
 
 
@@ -217,8 +232,8 @@ def oof_folds_random(folds: DataFrame, inner_k: int = 5, seed: int = 0) -> DataF
     """E6 (random): inner K-fold over each outer train part -> (repeat, fold, row_id, inner_fold)."""
     tr = folds.where(F.col("split") == "train").select("repeat", "fold", "row_id")
     hv = h(F.lit(seed), F.lit("oof"), F.col("repeat"), F.col("fold"), F.col("row_id"))
-    ranked = _hash_rank(tr, hv, "row_id", ["repeat", "fold"], "__rn", "__n")
-    return ranked.select("repeat", "fold", "row_id", ntile_fold(F.col("__rn"), F.col("__n"), inner_k).alias("inner_fold"))
+    res = _hash_assign(tr, hv, "row_id", ["repeat", "fold"], lambda r, n: ntile_fold(r, n, inner_k), "inner_fold")
+    return res.select("repeat", "fold", "row_id", "inner_fold")
 
 
 def oof_folds_group(folds: DataFrame, grouped: DataFrame, inner_k: int = 5, min_k: int = 2) -> DataFrame:

@@ -56,11 +56,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base.rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df):
+def materialize(df, by: str | None = "row_id"):
     """Cut lineage by writing ``df`` to the shared checkpoint folder (reliable checkpoint).
 
     Used for tables that several later stages read (fold tables, group maps): they are
     computed once, survive executor loss, and later plans start from the written files.
+    The table is hash-partitioned by ``by`` (``row_id``) first; the checkpoint keeps that
+    partitioning, so later joins on ``row_id`` shuffle only the (smaller) other side.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    if by and by in df.columns:
+        df = df.repartition(by)
     return df.checkpoint(eager=True)
