@@ -204,3 +204,36 @@ def perm_importance(spark, sf):
     feats = fx.engineer(base, "engineered", TARGET)
     return r6(EV.permutation_importance_linear(feats, folds, fx.ENGINEERED_12, TARGET,
                                                EV.ModelSpec("Ridge", "Ridge", {"alpha": 1.0})))
+
+
+def _group_folds(spark, sf):
+    base = mix_valid(spark, sf)
+    grouped = materialize(G.assign_groups(base))
+    folds = materialize(S.fold_table(base, "group", grouped=grouped))
+    return fx.engineer(base, "engineered", TARGET), folds
+
+
+@query("fit_ridge_poly", check="NP")
+def fit_ridge_poly(spark, sf):
+    """H5: per-fold scaler -> degree-2 polynomial -> Ridge(1), group folds."""
+    from mortar.operators import expanded as X
+    feats, folds = _group_folds(spark, sf)
+    pred = X.ridge_poly_predictions(feats, folds, fx.ENGINEERED_12, TARGET, "engineered_12", 2, 1.0)
+    return r6(M.fold_summary(M.metrics_all(pred)))
+
+
+@query("fit_gp", check="INV")
+def fit_gp(spark, sf):
+    """H8: Gaussian process mean via 64 random Fourier features, group folds."""
+    from mortar.operators import expanded as X
+    feats, folds = _group_folds(spark, sf)
+    return r6(M.fold_summary(M.metrics_all(X.gp_predictions(feats, folds, fx.ENGINEERED_12, TARGET, "engineered_12"))))
+
+
+@query("fit_svr", check="INV")
+def fit_svr(spark, sf):
+    """H9: RBF SVR via random Fourier features + IRLS on the epsilon-insensitive loss, group folds."""
+    from mortar.operators import expanded as X
+    feats, folds = _group_folds(spark, sf)
+    return r6(M.fold_summary(M.metrics_all(X.svr_predictions(feats, folds, fx.ENGINEERED_12, TARGET, "engineered_12",
+                                                             rounds=5))))
