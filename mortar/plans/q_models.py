@@ -237,3 +237,27 @@ def fit_svr(spark, sf):
     feats, folds = _group_folds(spark, sf)
     return r6(M.fold_summary(M.metrics_all(X.svr_predictions(feats, folds, fx.ENGINEERED_12, TARGET, "engineered_12",
                                                              rounds=5))))
+
+
+def _mlp(spark, sf, seeds, hidden, name):
+    from mortar.operators import expanded as X
+    from mortar.operators import neural as NN
+    feats, folds = _group_folds(spark, sf)
+    frame, zs = X.scaled_frame(feats, folds, fx.ENGINEERED_12, TARGET)
+    zc = [f"z{i}" for i in range(len(zs))]
+    frame = materialize(frame.select("regime", "repeat", "fold", "split", "row_id", "actual",
+                                     *[z.alias(c) for z, c in zip(zs, zc)]))
+    pred = NN.mlp_predictions(frame, zc, hidden=hidden, seeds=seeds, name=name, feature_set="engineered_12")
+    return r6(M.fold_summary(M.metrics_all(pred)))
+
+
+@query("fit_mlp", check="INV")
+def fit_mlp(spark, sf):
+    """One hidden layer of 32 ReLU units, Adam, early stopping, group folds."""
+    return _mlp(spark, sf, (0,), (32,), "MLP")
+
+
+@query("seed_ensemble_mlp", check="INV")
+def seed_ensemble_mlp(spark, sf):
+    """Three MLP seeds trained in the same jobs, predictions averaged."""
+    return _mlp(spark, sf, (0, 1, 2), (16,), "MLP_seed_ensemble")
