@@ -238,3 +238,25 @@ def permutation_importance_linear(features: DataFrame, folds: DataFrame, cols: l
     names = spark.createDataFrame(list(enumerate(cols)), "j int, feature string")
     return per_fold.groupBy("j").agg(F.avg("imp").alias("importance")).join(F.broadcast(names), "j").select(
         "feature", "importance").orderBy(F.col("importance").desc())
+
+
+def augmented_cv_predictions(features: DataFrame, folds: DataFrame, augmented: DataFrame, cols: list[str], label: str,
+                             specs: list[ModelSpec], feature_set: str, regime_name: str) -> DataFrame:
+    """Fit each fold on its augmented train rows (one Gram pass keyed by fold); score
+    train on the real rows, val and test as usual (augmentation never touches them)."""
+    spark = features.sparkSession
+    zc = cols + [label]
+    shift = shift_means(features.select(*zc), zc)
+    g = collect_grams(gram_agg(augmented, zc, FOLD_KEYS, shift), FOLD_KEYS, len(zc))
+    rows = []
+    for key, gm in sorted(g.items()):
+        m = moments(gm)
+        for spec in specs:
+            b0, beta = linear.SOLVERS[spec.solver](m, **spec.params)
+            rows.append((spec.name, key[0], int(key[1]), int(key[2]), float(b0 + shift[-1] - shift[:-1] @ beta),
+                         [float(b) for b in beta]))
+    coefs = spark.createDataFrame(rows, COEF_SCHEMA)
+    data = features.select("row_id", *cols, F.col(label).alias("actual"))
+    j = folds.join(data, "row_id").join(F.broadcast(coefs), FOLD_KEYS)
+    return j.select("model", F.lit(feature_set).alias("feature_set"), F.lit(regime_name).alias("regime"), "repeat",
+                    "fold", "split", "row_id", "actual", linear_predict(cols, F.col("b0"), F.col("beta")).alias("predicted"))

@@ -261,3 +261,30 @@ def fit_mlp(spark, sf):
 def seed_ensemble_mlp(spark, sf):
     """Three MLP seeds trained in the same jobs, predictions averaged."""
     return _mlp(spark, sf, (0, 1, 2), (16,), "MLP_seed_ensemble")
+
+
+@query("smogn", check="INV")
+def smogn(spark, sf):
+    """I4: per-fold SMOGN on the train rows (random 5x1 folds): rows per (fold, synthetic)."""
+    from mortar.operators import smogn as SM
+    base = mix_valid(spark, sf)
+    feats = fx.engineer(base, "engineered", TARGET)
+    folds = materialize(S.fold_table(base, "random", 5, 1, 0))
+    train = folds.where(F.col("split") == "train").join(feats, "row_id")
+    aug = SM.augment(train, fx.ENGINEERED_12, TARGET)
+    return aug.groupBy("regime", "repeat", "fold", "synthetic").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg(TARGET).alias("mean_target"))
+
+
+@query("cv_smogn", check="INV")
+def cv_smogn(spark, sf):
+    """Ridge fitted on SMOGN-augmented train rows; train scored on the real rows only."""
+    from mortar.operators import smogn as SM
+    base = mix_valid(spark, sf)
+    feats = fx.engineer(base, "engineered", TARGET)
+    folds = materialize(S.fold_table(base, "random", 5, 1, 0))
+    train = folds.where(F.col("split") == "train").join(feats, "row_id")
+    aug = materialize(SM.augment(train, fx.ENGINEERED_12, TARGET))
+    return r6(M.fold_summary(M.metrics_all(EV.augmented_cv_predictions(
+        feats, folds, aug, fx.ENGINEERED_12, TARGET, [EV.ModelSpec("Ridge", "Ridge", {"alpha": 1.0})], "engineered_12",
+        "SMOGN_random"))))
