@@ -176,11 +176,13 @@ def _solver_params(model: str, p: dict) -> dict:
 
 def tune(spark: SparkSession, model: str, features: DataFrame, folds: DataFrame, cols: list[str], label: str,
          n_trials: int = 100, seed: int = 0, score_split: str = "val", fit_on: str = "train",
-         time_limit: float = 30.0) -> DataFrame:
-    """Evaluate every trial on shared Grams -> trial log (F8)."""
+         time_limit: float = 30.0, grams: tuple | None = None) -> DataFrame:
+    """Evaluate every trial on shared Grams -> trial log (F8).
+
+    ``grams`` (from :func:`fold_grams`) lets several models share one pass over the rows."""
     if model not in GRAM_MODELS:
         raise ValueError(f"{model} is not a Gram-family model")
-    total, grams = fold_grams(features, folds, cols, label)
+    total, grams = grams if grams is not None else fold_grams(features, folds, cols, label)
     params = trial_params(trial_table(spark, model, n_trials, seed))
     rows = []
     for t in range(n_trials):

@@ -70,29 +70,38 @@ def search_space(spark, sf):
     return r6(out)
 
 
-def _tune(spark, sf, model, regime, n_trials=50, time_limit=30.0):
+def _tune_many(spark, sf, models, regime, n_trials=50, time_limit=30.0):
+    """Tune several Gram models on one shared set of fold Grams (one pass over the rows)."""
     base = mix_valid(spark, sf)
     feats = fx.engineer(base, "engineered", TARGET)
     cols = fx.ENGINEERED_12
     if regime == "group":
         grouped = materialize(G.assign_groups(base))
         folds = materialize(S.fold_table(base, "group", grouped=grouped))
-        return TU.tune(spark, model, feats, folds, cols, TARGET, n_trials, 0, "val", "train", time_limit)
-    folds = materialize(S.fold_table(base, "random", 5, 3, 0))
-    return TU.tune(spark, model, feats, folds, cols, TARGET, n_trials, 0, "test", "trainval", time_limit)
+        mode = ("val", "train")
+    else:
+        folds = materialize(S.fold_table(base, "random", 5, 3, 0))
+        mode = ("test", "trainval")
+    grams = TU.fold_grams(feats, folds, cols, TARGET)
+    logs = [TU.tune(spark, m, feats, folds, cols, TARGET, n, 0, mode[0], mode[1], time_limit, grams=grams)
+            for m, n in models]
+    return L.union_scores(*logs)
+
+
+def _tune(spark, sf, model, regime, n_trials=50, time_limit=30.0):
+    return _tune_many(spark, sf, [(model, n_trials)], regime, n_trials, time_limit)
 
 
 @query("tune_group", check="INV")
 def tune_group(spark, sf):
     """Ridge/Lasso/ElasticNet tuned on group-fold validation R^2 (guarded folds)."""
-    logs = [_tune(spark, sf, m, "group") for m in ("Ridge", "Lasso", "ElasticNet")]
-    return L.union_scores(*logs)
+    return _tune_many(spark, sf, [("Ridge", 50), ("Lasso", 50), ("ElasticNet", 50)], "group")
 
 
 @query("tune_random", check="INV")
 def tune_random(spark, sf):
     """PLS and BayesianRidge tuned on repeated random-KFold *test* R^2."""
-    return L.union_scores(_tune(spark, sf, "PLS", "random", 8), _tune(spark, sf, "BayesianRidge", "random", 20))
+    return _tune_many(spark, sf, [("PLS", 8), ("BayesianRidge", 20)], "random")
 
 
 @query("tune_timeout", check="INV")
