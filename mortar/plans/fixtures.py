@@ -75,7 +75,7 @@ def score_table(spark, sf):
     out = out.withColumns(cols)
     out = out.withColumn("overfit_gap", r(c("train_r2_mean") - c("test_r2_mean")))
     out = out.withColumn("best_optuna_val", F.when(tuned, r(c("val_r2_mean") - F.lit(0.01))))
-    out = out.withColumn("n_trials", F.when(tuned, F.lit(100)))
+    out = out.withColumn("n_trials", F.when(tuned, F.lit(100.0)))  # double: a nullable count, same type in both engines
     out = out.withColumn("tune_seconds", F.when(tuned, c("n").cast("double") * F.lit(0.25)))
     return out.select("model", "feature_set", "cv", *SCORE_COLS, "overfit_gap", "best_optuna_val", "n_trials", "tune_seconds")
 

@@ -25,7 +25,7 @@ def q_score_table(spark, sf):
 
 
 @query("union_scores", sc(
-    "SELECT * REPLACE (CAST(best_optuna_val AS DOUBLE) AS best_optuna_val, CAST(n_trials AS INTEGER) AS n_trials, "
+    "SELECT * REPLACE (CAST(best_optuna_val AS DOUBLE) AS best_optuna_val, CAST(n_trials AS DOUBLE) AS n_trials, "
     "CAST(tune_seconds AS DOUBLE) AS tune_seconds) FROM ("
     "SELECT * EXCLUDE (best_optuna_val, n_trials, tune_seconds), NULL AS best_optuna_val, NULL AS n_trials, "
     "NULL AS tune_seconds FROM scores WHERE cv = 'random_5x5' UNION ALL SELECT * FROM scores WHERE cv <> 'random_5x5')"))

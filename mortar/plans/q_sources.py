@@ -166,7 +166,7 @@ def _decode_sql():
     ints = ", ".join(f"'{p}'" for p in B.INT_PARAMS)
     return with_ctes(
         f"SELECT feature_set, model, name, value, CASE WHEN (name IN ({ints}) OR starts_with(name, 'units_l') OR name = 'batch_size') "
-        f"AND value = floor(value) THEN CAST(value AS BIGINT) END AS int_value FROM lng",
+        f"AND value = floor(value) THEN CAST(CAST(value AS BIGINT) AS DOUBLE) END AS int_value FROM lng",
         **Q.score_table_sql(), prm=PARAMS_SQL, lng=longs)
 
 
@@ -175,7 +175,8 @@ def params_decode(spark, sf):
     long = B.params_long(param_table(spark, sf))
     n, v = F.col("name"), F.col("value")
     is_int = (n.isin(B.INT_PARAMS) | n.startswith("units_l") | (n == "batch_size")) & (v == F.floor(v))
-    return long.select("feature_set", "model", "name", "value", F.when(is_int, v.cast("long")).alias("int_value"))
+    return long.select("feature_set", "model", "name", "value",
+                       F.when(is_int, v.cast("long").cast("double")).alias("int_value"))
 
 
 # ----------------------------------------------------------------------------- A3

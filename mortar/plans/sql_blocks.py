@@ -148,5 +148,5 @@ def score_table_sql() -> dict:
         "st2": f"SELECT model, feature_set, cv, {sel}, n FROM st1",
         "scores": (f"SELECT model, feature_set, cv, {', '.join(SCORE_COLS)}, {_r('train_r2_mean - test_r2_mean')} AS overfit_gap, "
                    f"CASE WHEN {tuned} THEN {_r('val_r2_mean - 0.01')} END AS best_optuna_val, "
-                   f"CASE WHEN {tuned} THEN 100 END AS n_trials, CASE WHEN {tuned} THEN CAST(n AS DOUBLE) * 0.25 END AS tune_seconds FROM st2"),
+                   f"CASE WHEN {tuned} THEN CAST(100 AS DOUBLE) END AS n_trials, CASE WHEN {tuned} THEN CAST(n AS DOUBLE) * 0.25 END AS tune_seconds FROM st2"),
     }
