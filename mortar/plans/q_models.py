@@ -288,3 +288,21 @@ def cv_smogn(spark, sf):
     return r6(M.fold_summary(M.metrics_all(EV.augmented_cv_predictions(
         feats, folds, aug, fx.ENGINEERED_12, TARGET, [EV.ModelSpec("Ridge", "Ridge", {"alpha": 1.0})], "engineered_12",
         "SMOGN_random"))))
+
+
+def _vif_pair_sql(a, b):
+    feats = f"SELECT {Q.DERIVED_SQL.get(a, a)} AS x1, {Q.DERIVED_SQL.get(b, b)} AS x2 FROM mixv"
+    r2 = "corr(x1, x2) * corr(x1, x2)"
+    body = " UNION ALL ".join(f"SELECT '{n}' AS feature, 1.0 / (1.0 - {r2}) AS VIF, false AS is_infinite, {r2} AS R2_other "
+                              f"FROM pf" for n in (a, b))
+    return round_sql(with_ctes(body, mixv=Q.MIXV, pf=feats), ["VIF", "R2_other"])
+
+
+VIF_PAIR = ("total_binder", "w_b_ratio")
+
+
+@query("vif_pair", _vif_pair_sql(*VIF_PAIR))
+def vif_pair(spark, sf):
+    """F7 two-feature case: VIF = 1 / (1 - corr^2), from the same Gram path as `vif`."""
+    feats = fx.engineer(mix_valid(spark, sf), "engineered")
+    return r6(STT.vif_table(feats, list(VIF_PAIR)))
