@@ -100,15 +100,14 @@ def _knn_in_bins(rows: DataFrame, zcols: list[str], k: int, block: int = 20000)
         d = np.sqrt(d)
         d[qid[:, None] == tid[None, :]] = np.inf
         kk = min(k, len(tid))
-        out_q, out_t, out_d = [], [], []
         kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        for r in range(len(xq)):
-            cand = np.nonzero(d[r] <= kth[r])[0]
-            order = cand[np.lexsort((tid[cand], d[r, cand]))][:kk]
-            order = order[np.isfinite(d[r, order])]
-            out_q.append(np.repeat(qid[r], len(order)))
-            out_t.append(tid[order])
-            out_d.append(d[r, order])
+        rows, cols_ = np.nonzero(d <= kth[:, None])  # k best per query plus ties at the k-th distance
+        order = np.lexsort((tid[cols_], d[rows, cols_], rows))
+        rows, cols_ = rows[order], cols_[order]
+        starts = np.searchsorted(rows, np.arange(len(xq)))
+        keep = ((np.arange(len(rows)) - starts[rows]) < kk) & np.isfinite(d[rows, cols_])
+        rows, cols_ = rows[keep], cols_[keep]
+        out_q, out_t, out_d = [qid[rows]], [tid[cols_]], [d[rows, cols_]]
         q_ids = np.concatenate(out_q)
         return pd.DataFrame({"regime": qp["regime"].iloc[0], "repeat": qp["repeat"].iloc[0], "fold": qp["fold"].iloc[0],
                              "q_id": q_ids, "t_id": np.concatenate(out_t), "d": np.concatenate(out_d)})
