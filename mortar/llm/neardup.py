@@ -6,10 +6,10 @@ maxima go to bands of their own, which keeps the estimate unbiased.
 
 *Candidates.* Documents with the same word sequence are one class with its smallest id as
 representative; only representatives are banded. A bucket (band value) of many documents is
-never expanded into all pairs: its members meet its smallest member (a star). Verified stars
-are joined into components; buckets whose members lie in one component are done. Those that
-do not get new stars from other members, and what still spans components after that is
-compared across components only, so no link between buckets' members is lost.
+never expanded into all pairs: its members meet one hub, the member that meets most others.
+Verified stars are joined into components, and buckets whose members lie in one component are
+done. Members of the others are compared across components only, by an exact prefix filter
+on their shingle sets (``prefix_pairs``), so no link between members of a bucket is lost.
 
 *Links.* Each candidate pair is confirmed on the full shingle sets of the whole texts:
 ``100 * intersection >= 75 * union``.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mortar.llm.common import (SHINGLE_STEP, WORD_STEP, mix64, per_text_words, powers, random_table, saved,
@@ -29,7 +29,6 @@ from mortar.llm.common import (SHINGLE_STEP, WORD_STEP, mix64, per_text_words, p
 
 PERMUTATIONS, ROWS = 60, 4
 PERCENT = 75
-STAR_ROUNDS = 3
 CHUNK = 8192
 MULTIPLY = random_table(PERMUTATIONS, 11) | np.uint64(1)
 SHIFT = random_table(PERMUTATIONS, 12)
@@ -124,39 +123,71 @@ def alike(a: str, b: str, percent: int = PERCENT):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """``rep, n, s``: a row for each shingle in each set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(text_shingles(words)).view(np.int64) for _, words in per_text_words(b.column(1))]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(sizes), pa.ListArray.from_arrays(
+                    np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), np.concatenate([*sets, np.zeros(0, np.int64)]))],
+                ["rep", "n", "s"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "text").mapInArrow(run, f"rep {kind}, n long, s array<long>").select(
+        "rep", "n", F.explode("s").alias("s"))
+
+
+def prefix_pairs(texts: DataFrame, placed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs ``a, b`` of different components that may be similar, by an exact prefix filter.
+
+    Shingles are ordered from rare to common. Two sets with enough in common share one among the
+    first few of either (the shorter set needs fewer), and from its place on there must be
+    enough left. Edited copies of one text that aren't alike enough differ in their rare
+    shingles first, so they are not paired, however many they are."""
+    rows = shingle_rows(texts.join(placed.select(F.col("rep").alias("id")), "id", "left_semi"))
+    rows = written(rows, "shingles")
+    counts = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("rep").orderBy("df", "s")
+    ranked = rows.join(counts, "s").withColumn("at", F.row_number().over(order) - 1)
+    part = lambda top, bottom, n: F.ceil(F.lit(top) * n / F.lit(bottom) - 1e-9)
+    ranked = ranked.where((F.col("at") <= F.col("n") - part(percent, 100, F.col("n"))) & (F.col("df") > 1))
+    ranked = written(ranked.join(placed, "rep").select("s", "rep", "n", "at", "component"), "prefixes")
+    x = ranked.where(F.col("at") <= F.col("n") - part(2 * percent, 100 + percent, F.col("n"))).select(
+        "s", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"), F.col("component").alias("cx"))
+    y = ranked.select("s", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("at").alias("py"),
+                      F.col("component").alias("cy"))
+    left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    fits = ((F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    fits &= (F.col("cx") != F.col("cy")) & alike("nx", "ny", percent)
+    fits &= left >= part(percent, 100 + percent, F.col("nx") + F.col("ny"))
+    return x.join(y, (x["s"] == y["s"]) & fits).select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def links_between(reps: DataFrame, texts_of, percent: int = PERCENT) -> DataFrame:
     """Links ``a, b`` that connect all near-duplicates among the representatives ``rep, n, bands``."""
     members = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    stars = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("hub"))
-    members = written(members.join(stars.where("size > 1"), "bucket").select("bucket", "rep", "n", "hub"), "buckets")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = written(members.join(sizes, "bucket").select("bucket", "rep", "n", "size"), "buckets")
     texts = written(texts_of(members.select(F.col("rep").alias("id")).distinct()), "bucket-texts")
-    pairs = members.where(F.col("rep") != F.col("hub.rep")).where(alike("n", "hub.n", percent)).select(
-        F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = saved(pairs)
-    links = saved(verified(tested, texts, percent))
-    for turn in range(STAR_ROUNDS):
-        comp = components(links).select(F.col("id").alias("rep"), "component")
-        placed = members.select("bucket", "rep", "n").join(comp, "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep"))
-        salt = F.xxhash64(F.lit(turn), F.col("bucket"), F.col("rep"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(
-            F.struct(salt.alias("s"), "rep", "n", "component")).alias("hub")).where("lo <> hi")
-        open_ = saved(placed.join(mixed.select("bucket", "hub"), "bucket"))
-        if turn < STAR_ROUNDS - 1:
-            pairs = open_.where(F.col("component") != F.col("hub.component")).where(alike("n", "hub.n", percent)).select(
-                F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
-        else:  # what stars left open: across components only
-            x = open_.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            y = open_.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = x.join(y, "bucket").where("a < b and ca <> cb").where(alike("na", "nb", percent)).select("a", "b")
-        pairs = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if open_.isEmpty():
-                break
-            continue
-        links = saved(links.unionByName(verified(pairs, texts, percent)))
-        tested = saved(tested.unionByName(pairs))
-    return links
+    # the original of many edited copies meets more of them than they meet each other: it is the hub
+    fame = members.groupBy("rep").agg(F.sum("size").alias("fame"))
+    members = members.join(fame, "rep").select("bucket", "rep", "n", "fame")
+    hubs = members.groupBy("bucket").agg(F.min(F.struct((-F.col("fame")).alias("f"), "rep", "n")).alias("hub"))
+    pairs = members.join(hubs, "bucket").where(F.col("rep") != F.col("hub.rep")).where(
+        alike("n", "hub.n", percent)).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    tested = written(pairs, "stars")
+    links = written(verified(tested, texts, percent), "star-links")
+    comp = components(links).select(F.col("id").alias("rep"), "component")
+    placed = members.select("bucket", "rep").join(comp, "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    open_ = written(placed.join(mixed, "bucket", "left_semi").select("rep", "component").distinct(), "open")
+    both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = written(prefix_pairs(texts, open_, percent).join(both, ["a", "b"], "left_anti"), "rest")
+    return links.unionByName(written(verified(rest, texts, percent), "rest-links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
