@@ -4,8 +4,9 @@
 (ranges of keys) and each part into blocks of ``block_ids`` ids (the last may be shorter). A
 block is transposed: plane ``p`` holds the p-th byte (or bit) of all its ids, and each plane is
 compressed by itself with zstandard. High planes are nearly constant and shrink to nothing.
-A stored table has one row per block: ``part, block, n_ids, kind, planes`` and the chunk index
-``docs``: key, offset in the part and length of every document that starts in it. Rows are
+A stored table has one row per block: ``part, first, n_ids, kind, planes`` (``first``: offset of
+its first id in the part) and the chunk index ``docs``: key, offset in the part and length of
+every document that has ids in it. Rows are
 written by Spark's own committer (executors may be lost at any time), to any file system.
 
 *Reading* decodes each block once; a document that crosses blocks is put together from its
@@ -22,15 +23,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 BLOCK_IDS = 1 << 16
-MEMO_UNITS = 1_000_000
+UNITS, PARTS = 1_000_000, 300_000  # bounds of the tables of known units
 #: White space other than the plain space and the line feed: texts with it take the slower cut.
-ODD_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
-_ODD = re.compile(f"[{ODD_SPACES}]|  | \n|\n | $|^ ")
+ODD_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SIMPLE = re.compile(f"[{_LETTERS}\n!-&(-~]+")
+_WORD = re.compile(f" ?[{_LETTERS}]+")
+_PARTS = re.compile(f" ?[{_LETTERS}]+| ?[^ {_LETTERS}]+")
+
+#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _PRINTABLE}
+BYTE_CHARS |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in BYTE_CHARS)}
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -38,53 +48,74 @@ def as_bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
-class UnitIds(dict):
-    """Ids (little-endian uint32 bytes) of text units, encoded by the library on first sight; bounded.
+class Encoder:
+    """Ids of texts, as little-endian uint32 bytes, by the library's encoding of their units.
 
     The vocabulary's splitting pattern always starts a new piece at a single space between two
-    other characters, so ids of a text are those of its units in turn. Key: the unit without
-    ``prefix``."""
-
-    def __init__(self, tokenizer, prefix: str):
-        super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
-
-    def add(self, units: list[str]) -> None:
-        if len(self) + len(units) > MEMO_UNITS:
-            self.clear()
-        found = self.tokenizer.encode_batch_fast([self.prefix + u for u in units], add_special_tokens=False)
-        for u, e in zip(units, found, strict=True):
-            self[u] = as_bytes(e.ids)
-
-    def __missing__(self, unit: str) -> bytes:
-        return as_bytes(self.tokenizer.encode(self.prefix + unit, add_special_tokens=False).ids)
+    other characters, so ids of a text are those of its units in turn. A unit of ASCII and Latin
+    letters without an apostrophe or an empty line also splits between letters and others.
+    What was encoded before is looked up."""
 
-
-class Encoder:
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(file)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.first, self.later = UnitIds(self.tokenizer, ""), UnitIds(self.tokenizer, " ")
+        self.joined = Tokenizer.from_file(file)  # the same model, cut at line feeds only
+        self.joined.pre_tokenizer = pre_tokenizers.Split(BYTE_CHARS[10], "isolated")
+        self.feed = self.tokenizer.token_to_id(BYTE_CHARS[10])
+        self.units: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that the pattern leaves whole: one call for all, with line feeds between."""
+        if not parts:
+            return []
+        mapped = "\n".join(parts).encode().decode("latin-1").translate(BYTE_CHARS)
+        ids = np.array(self.joined.encode(mapped, add_special_tokens=False).ids, "<u4")
+        at = np.flatnonzero(ids == self.feed)
+        starts, ends = np.concatenate(([0], at + 1)) * 4, np.concatenate((at, [len(ids)])) * 4
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def new_units(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of units after a space."""
+        cut = [_PARTS.findall(" " + u) if _SIMPLE.fullmatch(u) and "\n\n" not in u else [" " + u] for u in units]
+        lacking = list({p for c in cut for p in c if p not in self.parts})
+        if len(self.parts) + len(lacking) > PARTS:
+            self.parts.clear()
+            lacking = list({p for c in cut for p in c})
+        known = self.parts
+        whole = [p for p in lacking if _WORD.fullmatch(p)]
+        known.update(zip(whole, self.words(whole), strict=True))
+        other = [p for p in lacking if p not in known]
+        known.update(zip(other, self.library(other), strict=True))
+        return {u: known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for u, c in zip(units, cut)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
+        cut: list[list[str]] = []
         for t in texts:
             if self.special is not None and self.special.search(t):
-                cut.append(None)  # special strings: the library sees the whole text
+                cut.append([t])  # special strings: the library sees the whole text
+            elif "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or any(c in t for c in ODD_SPACES):
+                cut.append(_CUT.split(t))
             else:
-                cut.append(_CUT.split(t) if _ODD.search(t) else t.split(" "))
-        new = {u for c in cut if c for u in c[1:]}
-        new = [u for u in new if u not in self.later]
-        self.later.add(new)
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(self.first[t])
-            else:
-                out.append(b"".join((self.first[c[0]], *map(self.later.__getitem__, c[1:]))))
-        return out
+                cut.append(t.split(" "))
+        heads = self.library([c[0] for c in cut])
+        get = self.units.get
+        found = [list(map(get, c[1:])) for c in cut]
+        lacking = {u for c, f in zip(cut, found) if None in f for u, v in zip(c[1:], f) if v is None}
+        if lacking:
+            fresh = self.new_units(list(lacking))
+            found = [[fresh[u] if v is None else v for u, v in zip(c[1:], f)] if None in f else f
+                     for c, f in zip(cut, found)]
+            if len(self.units) + len(fresh) > UNITS:
+                self.units.clear()
+            self.units.update(fresh)
+        return [h + b"".join(f) for h, f in zip(heads, found)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -120,9 +151,11 @@ def from_planes(planes: list[bytes], n_ids: int, kind: str = "byte") -> np.ndarr
     return np.ascontiguousarray(rows.T).reshape(-1).view("<u4")
 
 
-BLOCK_SCHEMA = ("part int, block long, n_ids int, kind string, planes array<binary>, "
+BLOCK_SCHEMA = ("part int, first long, n_ids int, kind string, planes array<binary>, "
                 "docs array<struct<doc_id: {key}, offset: long, n_tokens: long>>")
 
+BLOCK_COLUMNS = ("part", "first", "n_ids", "kind", "planes", "docs")
+
 
 def encoded_blocks(docs: DataFrame, model: str, end_id: int = 0, kind: str = "byte", block_ids: int = BLOCK_IDS,
                    key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,31 +163,31 @@ def encoded_blocks(docs: DataFrame, model: str, end_id: int = 0, kind: str = "by
     pass over each; a task holds one batch of texts and one block. Nulls: a null text is empty
     (the end id alone), a null key sorts first."""
     kind_of_key = docs.schema[key].dataType.simpleString()
-    ranged = docs.select(key, text).repartitionByRange(F.col(key).asc(), F.col(text).asc())
+    ranged = docs.select(key, text).repartitionByRange(F.col(key).asc())
     ranged = ranged.sortWithinPartitions(F.col(key).asc(), F.col(text).asc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         enc, part = encoder(model), TaskContext.get().partitionId()
         end = np.uint32(end_id).astype("<u4").tobytes()
-        held, ready, starts, base, block = [], 0, [], 0, 0
+        held, ready, starts, base = [], 0, [], 0
         key_type = None
 
         def cut(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, ready, starts, base, block
+            nonlocal held, ready, starts, base
             ids = np.frombuffer(b"".join(held), "<u4")
             at = 0
             while ready - at >= block_ids or last and ready > at:
                 here = ids[at: at + block_ids]
                 mine = [s for s in starts if s[1] < base + len(here)]
-                starts = starts[len(mine):]
+                starts = [s for s in mine if s[1] + s[2] > base + len(here)] + starts[len(mine):]
                 doc_type = pa.list_(pa.struct([("doc_id", key_type), ("offset", pa.int64()), ("n_tokens", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([len(here)], pa.int32()),
+                    [pa.array([part], pa.int32()), pa.array([base], pa.int64()), pa.array([len(here)], pa.int32()),
                      pa.array([kind]), pa.array([to_planes(here, kind)], pa.list_(pa.binary())),
                      pa.array([[dict(zip(("doc_id", "offset", "n_tokens"), s)) for s in mine]], doc_type)],
-                    ["part", "block", "n_ids", "kind", "planes", "docs"])
-                at, base, block = at + len(here), base + len(here), block + 1
+                    ["part", "first", "n_ids", "kind", "planes", "docs"])
+                at, base = at + len(here), base + len(here)
             held, ready = [ids[at:].tobytes()], ready - at
 
         for b in batches:
@@ -205,29 +238,17 @@ def start_column(blocks: DataFrame) -> Column:
 def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """Every document of a token file: ``key, start, n_tokens, ids`` (ids as little-endian bytes).
 
-    A block gives the pieces of the documents in it: those it indexes, and the rest of one that
-    began before. Only documents that cross blocks are shuffled, to be put together."""
+    A block gives the pieces of the documents in it. Only documents that cross blocks are shuffled,
+    to be put together."""
     blocks = read_blocks(spark, path)
-    key_type = blocks.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()
-    ordered = Window.partitionBy("part").orderBy("block")
-    # (part, block) -> offset of its first id and the document running over from before: a table
-    # of numbers, without planes
-    last = F.element_at("docs", -1)
-    index = blocks.select("part", "block", "n_ids", F.when(F.size("docs") > 0, last).alias("last"))
-    index = index.select("part", "block",
-                         F.coalesce(F.sum("n_ids").over(ordered.rowsBetween(Window.unboundedPreceding, -1)),
-                                    F.lit(0)).alias("base"),
-                         F.last("last", ignorenulls=True).over(
-                             ordered.rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
-    joined = blocks.join(index, ["part", "block"])
+    kind_of_key = blocks.schema["docs"].dataType.elementType["doc_id"].dataType
+    key_type, key_pa = kind_of_key.simpleString(), to_arrow_type(kind_of_key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                part, n, kind, planes, docs, base, begun = (
-                    b.column(c)[i].as_py() for c in ("part", "n_ids", "kind", "planes", "docs", "base", "open"))
+                part, base, n, kind, planes, docs = (b.column(c)[i].as_py() for c in BLOCK_COLUMNS)
                 ids = from_planes(planes, n, kind)
-                docs = ([begun] if begun is not None and begun["offset"] + begun["n_tokens"] > base else []) + docs
                 cuts = [(max(d["offset"], base), min(d["offset"] + d["n_tokens"], base + n)) for d in docs]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(docs), pa.int32()), pa.array([d["doc_id"] for d in docs], key_pa),
@@ -236,9 +257,7 @@ def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataF
                      pa.array([ids[a - base: e - base].tobytes() for a, e in cuts], pa.binary())],
                     ["part", "doc_id", "offset", "n_tokens", "at", "ids"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-    key_pa = to_arrow_type(blocks.schema["docs"].dataType.elementType["doc_id"].dataType)
-    found = joined.select("part", "n_ids", "kind", "planes", "docs", "base", "open").mapInArrow(
+    found = blocks.select(*BLOCK_COLUMNS).mapInArrow(
         run, f"part int, doc_id {key_type}, offset long, n_tokens long, at long, ids binary")
     whole = F.octet_length("ids") == 4 * F.col("n_tokens")
     crossing = found.where(~whole).groupBy("part", "doc_id", "offset", "n_tokens").agg(
