@@ -3,8 +3,8 @@
 Plan per (feature set, regime):
 
 1. fold table (F3) - computed once, reused by every model;
-2. Gram pass - ``sum`` aggregates over all rows and over test/val rows per fold;
-3. driver - ``train = total - test - val`` and one p x p solve per (model, fold);
+2. moment pass - centred sums per disjoint cell of rows (test fold, validation folds);
+3. driver - merge the cells of a fold's train rows and one p x p solve per (model, fold);
 4. prediction pass - fold table joined with the features and a broadcast coefficient
    table (``#models x #folds`` rows, bounded by the configuration) -> F4 long table;
 5. metrics - :mod:`mortar.operators.metrics`.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mortar.operators import linear
-from mortar.operators.gram import collect_grams, gram_agg, moments, shift_means
+from mortar.operators.gram import collect_grams, fold_moments, gram_agg, moments, shift_means
 
 FOLD_KEYS = ["regime", "repeat", "fold"]
 
@@ -50,23 +50,12 @@ def fold_coefficients(features: DataFrame, folds: DataFrame, cols: list[str], la
     With ``with_means`` each row also carries the target mean of the fold's train / val /
     test rows (read off the same Grams), so the metric pass needs no second aggregate."""
     data = features.select("row_id", *cols, label)
-    zc = cols + [label]
-    shift = shift_means(data, zc)
-    total = collect_grams(gram_agg(data, zc, [], shift), [], len(zc))[()]
-    parts = folds.where(F.col("split") != "train").select(*FOLD_KEYS, "split", "row_id").join(data, "row_id")
-    grams = collect_grams(gram_agg(parts, zc, FOLD_KEYS + ["split"], shift), FOLD_KEYS + ["split"], len(zc))
-    keys = sorted({k[:3] for k in grams})
-    zero = np.zeros_like(total)
     rows = []
-    sx, sy = shift[:-1], shift[-1]
-    for key in keys:
-        g_test, g_val = grams.get(key + ("test",), zero), grams.get(key + ("val",), zero)
-        g_train = total - g_test - g_val
-        m = moments(g_train)
-        means = [float(g[0, -1] / g[0, 0] + sy) if g[0, 0] > 0 else None for g in (g_train, g_val, g_test)]
+    for key, parts in sorted(fold_moments(data, folds, cols + [label]).items()):
+        means = [float(parts[s].my) if s in parts and parts[s].n > 0 else None for s in ("train", "val", "test")]
         for spec in specs:
-            b0, beta = linear.SOLVERS[spec.solver](m, **spec.params)
-            row = (spec.name, key[0], int(key[1]), int(key[2]), float(b0 + sy - sx @ beta), [float(b) for b in beta])
+            b0, beta = linear.SOLVERS[spec.solver](parts["train"], **spec.params)
+            row = (spec.name, key[0], int(key[1]), int(key[2]), float(b0), [float(b) for b in beta])
             rows.append(row + tuple(means) if with_means else row)
     return rows
 

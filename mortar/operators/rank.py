@@ -4,8 +4,8 @@
 order key is first cut into buckets that are monotone in the key (hash prefix, or
 quantile ranges of a numeric key); a tiny per-bucket count table gives each bucket its
 offset; the rank is the offset plus a row number *within* the bucket. The count table has
-at most ``#partition keys x #buckets`` rows, a bound fixed by the caller, so it is safe to
-broadcast. Work is spread over all buckets; the result equals the global row number.
+at most ``#partition keys x #buckets`` rows; it is joined without a hint, so the runtime plan
+broadcasts it only while it is small. Work is spread over all buckets; the result equals the global row number.
 """
 
 from __future__ import annotations
@@ -35,11 +35,23 @@ def exact_row_number(df: DataFrame, order_by: list[Column], bucket: Column,
     if total_col:
         offsets = offsets.withColumn(total_col, F.sum("__cnt").over(Window.partitionBy(*parts)))
     offsets = offsets.drop("__cnt")
-    joined = b.join(F.broadcast(offsets), on=[*parts, "__bkt"], how="inner")
+    joined = b.join(offsets, on=[*parts, "__bkt"], how="inner")
     wb = Window.partitionBy(*parts, "__bkt").orderBy(*order_by)
     return joined.withColumn(out, F.col("__off") + F.row_number().over(wb) - 1).drop("__bkt", "__off")
 
 
+def with_quantile_bucket(df: DataFrame, col: str, n_buckets: int = 1 << DEFAULT_BUCKET_BITS,
+                         rel_err: float = 1e-3) -> DataFrame:
+    """``df`` with ``__bkt``, the approximate quantile range of ``col`` (non-decreasing in it)."""
+    qs = df.approxQuantile(col, [i / n_buckets for i in range(1, n_buckets)], rel_err)
+    full = [float("-inf"), *sorted({float(q) for q in qs if q is not None}), float("inf")]
+    if len(full) < 3:
+        return df.withColumn("__bkt", F.lit(0).cast("long"))
+    tmp = df.withColumn("__qx", F.col(col).cast("double"))
+    tmp = Bucketizer(splits=full, inputCol="__qx", outputCol="__qb", handleInvalid="keep").transform(tmp)
+    return tmp.withColumn("__bkt", F.col("__qb").cast("long")).drop("__qx", "__qb")
+
+
 def rank_by_numeric(df: DataFrame, col: str, partition_by: list[str] | tuple[str, ...] = (),
                     out: str = "rn", descending: bool = False, total_col: str | None = None,
                     n_buckets: int = 1 << DEFAULT_BUCKET_BITS, rel_err: float = 1e-3) -> DataFrame:
@@ -63,12 +75,6 @@ def rank_by_numeric(df: DataFrame, col: str, partition_by: list[str] | tuple[str
     return ranked.drop("__qx", "__qb")
 
 
-def range_bucket_by_width(col: Column, lo: int, hi: int, n_buckets: int) -> Column:
-    """Equal-width buckets over a dense integer key range (used for dense ids)."""
-    width = max(1, (hi - lo + 1 + n_buckets - 1) // n_buckets)
-    return F.floor((col - F.lit(lo)) / F.lit(width)).cast("long")
-
-
 def assign_by_rank(df: DataFrame, order_by: list[Column], bucket: Column, partition_by: list[str] | tuple[str, ...],
                    rank_fn, out: str) -> DataFrame:
     """``out = rank_fn(rank, n)`` for a step function of the exact rank, ranking only where needed.
@@ -88,7 +94,7 @@ def assign_by_rank(df: DataFrame, order_by: list[Column], bucket: Column, partit
     first = rank_fn(F.col("__off"), F.col("__n"))
     last = rank_fn(F.col("__off") + F.col("__cnt") - 1, F.col("__n"))
     off = off.select(*parts, "__bkt", "__off", "__n", first.alias("__v"), (first == last).alias("__clean"))
-    j = b.join(F.broadcast(off), on=[*parts, "__bkt"], how="inner")  # <= keys x buckets rows
+    j = b.join(off, on=[*parts, "__bkt"], how="inner")  # the runtime plan broadcasts a small table
     clean = j.where(F.col("__clean")).withColumn(out, F.col("__v"))
     dirty = j.where(~F.col("__clean"))
     wb = Window.partitionBy(*parts, "__bkt").orderBy(*order_by)

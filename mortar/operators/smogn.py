@@ -132,13 +132,14 @@ def augment(train: DataFrame, cols: list[str], label: str, k: int = 5, pert: flo
     plan = F.broadcast(plan)  # <= keys x 3 rows
     bb = b.join(plan, [*KEYS, "bin"], "left")
     untouched = bb.where(F.col("target").isNull()).select(*KEYS, "row_id", *cols, label, F.lit(False).alias("synthetic"))
-    # normal bin: keep the first `target` rows in hash order
-    normal = bb.where(F.col("target").isNotNull() & (F.col("bin") == "normal")).withColumn(
+    # bins above the target: keep the first `target` rows in hash order
+    above = F.col("target").isNotNull() & (F.col("nbin") > F.col("target"))
+    normal = bb.where(above).withColumn(
         "__h", h(F.lit(seed), F.lit("under"), F.col("fold"), F.col("repeat"), F.col("row_id")))
     kept = assign_by_rank(normal, [F.col("__h"), F.col("row_id")], hash_bucket(F.col("__h"), 12),
                           [*KEYS, "bin", "target"], lambda r, n: r < F.col("target"), "__keep")
     kept = kept.where("__keep").select(*KEYS, "row_id", *cols, label, F.lit(False).alias("synthetic"))
-    rare = bb.where(F.col("target").isNotNull() & (F.col("bin") != "normal"))
+    rare = bb.where(F.col("target").isNotNull() & (F.col("nbin") <= F.col("target")))
     real_rare = rare.select(*KEYS, "row_id", *cols, label, F.lit(False).alias("synthetic"))
     # synthetic cases: range-normalised features inside the bin, k nearest neighbours
     rng = rare.groupBy(*KEYS, "bin").agg(*[F.min(c).alias(f"__lo{i}") for i, c in enumerate(cols)],
@@ -161,8 +162,8 @@ def augment(train: DataFrame, cols: list[str], label: str, k: int = 5, pert: flo
     rem = extra - per * F.col("nbin")
     seeds = seeds.withColumn("__u0", _u(F.lit(seed), F.lit("rem"), F.col("fold"), F.col("repeat"), F.col("row_id")))
     nsyn = per + F.when(F.col("__u0") < rem / F.col("nbin"), 1).otherwise(0)
-    seeds = seeds.withColumn("__j", F.explode(F.sequence(F.lit(0), F.greatest(nsyn.cast("int") - 1, F.lit(-1)))))
-    seeds = seeds.where(F.col("__j") >= 0)
+    nsyn = nsyn.cast("int")
+    seeds = seeds.withColumn("__n", nsyn).where("__n > 0").withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     seeds = seeds.withColumn("nn", F.floor(_u(F.lit(seed), F.lit("nn"), F.col("fold"), F.col("repeat"), F.col("row_id"),
                                               F.col("__j")) * F.coalesce(F.col("__kn"), F.lit(1))).cast("int"))
     pick = nn.select(*KEYS, F.col("q_id").alias("row_id"), "nn", F.col("t_id").alias("__nid"), F.col("d").alias("__nd"))

@@ -8,10 +8,10 @@ feature in one task).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mortar.operators.rank import rank_by_numeric
+from mortar.operators.rank import with_quantile_bucket
 
 
 def unpivot(df: DataFrame, cols: list[str], id_cols: list[str] | None = None,
@@ -21,17 +21,31 @@ def unpivot(df: DataFrame, cols: list[str], id_cols: list[str] | None = None,
         ids, cols, name, value)
 
 
+def cumulative_counts(distinct: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, value, __c`` (count) with the ranks ``[__b, __e)`` that the value takes in its key, and ``__n``."""
+    b = with_quantile_bucket(distinct, value)
+    part = b.groupBy(key, "__bkt").agg(F.sum("__c").alias("__s"))
+    up = Window.partitionBy(key).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(key, "__bkt", F.coalesce(F.sum("__s").over(up), F.lit(0)).alias("__off"),
+                       F.sum("__s").over(Window.partitionBy(key)).alias("__n"))
+    inner = Window.partitionBy(key, "__bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = b.join(part, [key, "__bkt"]).withColumn("__e", F.col("__off") + F.sum("__c").over(inner))
+    return out.withColumn("__b", F.col("__e") - F.col("__c")).drop("__bkt", "__off")
+
+
 def exact_quantiles(long: DataFrame, probs: list[float], key: str = "feature", value: str = "value") -> DataFrame:
     """Linear-interpolated quantiles (pandas/NumPy default) per ``key`` -> key, q, quantile."""
-    vals = long.where(F.col(value).isNotNull()).select(key, value)
-    ranked = rank_by_numeric(vals, value, partition_by=[key], out="__rk", total_col="__n")
+    vals = long.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = cumulative_counts(vals, key, value)  # distinct values: equal values are one row
     out = None
     for p in probs:
         pos = (F.col("__n") - 1) * F.lit(p)
         lo, hi = F.floor(pos), F.ceil(pos)
-        pick = ranked.where((F.col("__rk") == lo) | (F.col("__rk") == hi)).groupBy(key).agg(
-            F.min(F.when(F.col("__rk") == lo, F.col(value))).alias("__lo"),
-            F.min(F.when(F.col("__rk") == hi, F.col(value))).alias("__hi"),
+        at_lo = (F.col("__b") <= lo) & (lo < F.col("__e"))
+        at_hi = (F.col("__b") <= hi) & (hi < F.col("__e"))
+        pick = ranked.where(at_lo | at_hi).groupBy(key).agg(
+            F.min(F.when(at_lo, F.col(value))).alias("__lo"),
+            F.min(F.when(at_hi, F.col(value))).alias("__hi"),
             F.first((F.col("__n") - 1) * F.lit(p) - F.floor((F.col("__n") - 1) * F.lit(p))).alias("__f"))
         q = pick.select(key, F.lit(p).alias("q"),
                         (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")).alias("quantile"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from mortar.functions.hashing import h
 from mortar.operators import linear
-from mortar.operators.gram import collect_grams, gram_agg, moments, shift_means
+from mortar.operators.gram import fold_moments, merge_moments, sse
 
 # Search spaces (name, kind, low, high, choices) per model, as in the study.
 SPACES = {
@@ -88,9 +88,11 @@ def _draw(spec, u):
     return v.cast("double"), F.lit(None).cast("string")
 
 
-def trial_table(spark: SparkSession, model: str, n_trials: int, seed: int = 0) -> DataFrame:
-    """``(study, trial, name, value, text)`` for ``n_trials`` seeded draws of ``model``'s space."""
-    trials = spark.range(n_trials).select(F.col("id").cast("int").alias("trial"))
+def trial_table(spark: SparkSession, model: str, n_trials: int, seed: int = 0, ids: DataFrame | None = None) -> DataFrame:
+    """``(study, trial, name, value, text)`` for ``n_trials`` seeded draws of ``model``'s space.
+
+    ``ids``: a table of trial numbers (``trial``) to draw for instead of ``0 .. n_trials - 1``."""
+    trials = spark.range(n_trials).select(F.col("id").cast("int").alias("trial")) if ids is None else ids
     parts = []
     space = SPACES[model]
     n_layers = None
@@ -125,42 +127,28 @@ def trial_params(trials: DataFrame) -> dict[int, dict]:
     return out
 
 
-def _sse(g: np.ndarray, a: float, beta: np.ndarray) -> float:
-    w = np.concatenate([[-a], -beta, [1.0]])
-    return float(w @ g @ w)
-
-
-def fold_grams(features: DataFrame, folds: DataFrame, cols: list[str], label: str):
-    """Total and per (repeat, fold, split) Grams for the non-train rows (one pass each)."""
-    data = features.select("row_id", *cols, label)
-    zc = cols + [label]
-    shift = shift_means(data, zc)
-    total = collect_grams(gram_agg(data, zc, [], shift), [], len(zc))[()]
-    parts = folds.where(F.col("split") != "train").select("repeat", "fold", "split", "row_id").join(data, "row_id")
-    grams = collect_grams(gram_agg(parts, zc, ["repeat", "fold", "split"], shift), ["repeat", "fold", "split"], len(zc))
-    return total, grams
+def fold_grams(features: DataFrame, folds: DataFrame, cols: list[str], label: str) -> dict:
+    """Moments per (regime, repeat, fold) and split, shared by all trials and models."""
+    return fold_moments(features.select("row_id", *cols, label), folds, cols + [label])
 
 
-def objective(total, grams, solver: str, params: dict, score_split: str = "val", fit_on: str = "train",
+def objective(grams: dict, solver: str, params: dict, score_split: str = "val", fit_on: str = "train",
               min_train: int = 5, min_val: int = 2) -> float:
     """Mean R^2 on ``score_split`` over folds; ``fit_on='train'`` excludes val rows,
     ``'trainval'`` fits on everything but test (the random-KFold objective)."""
-    zero = np.zeros_like(total)
-    keys = sorted({k[:2] for k in grams})
     scores = []
-    for key in keys:
-        g_test, g_val = grams.get(key + ("test",), zero), grams.get(key + ("val",), zero)
-        g_fit = total - g_test - (g_val if fit_on == "train" else 0)
-        g_score = g_val if score_split == "val" else g_test
-        if fit_on == "train" and (g_fit[0, 0] < min_train or g_val[0, 0] < min_val):
+    for _, parts in sorted(grams.items()):
+        empty = merge_moments([], len(parts["train"].mx))
+        val = parts.get("val", empty)
+        m = parts["train"] if fit_on == "train" else merge_moments([parts["train"], val], len(empty.mx))
+        if fit_on == "train" and (m.n < min_train or val.n < min_val):
             continue  # the guard of the group objective
-        m = moments(g_fit)
         a, beta = linear.SOLVERS[solver](m, **params)
-        ms = moments(g_score)
+        ms = val if score_split == "val" else parts.get("test", empty)
         if ms.n < 2:
             continue
-        sse = _sse(g_score, a, beta)
-        scores.append(1.0 - sse / ms.syy if ms.syy > 0 else (1.0 if sse == 0 else 0.0))
+        err = sse(ms, a, beta)
+        scores.append(1.0 - err / ms.syy if ms.syy > 0 else (1.0 if err == 0 else 0.0))
     return float(np.mean(scores)) if scores else float("nan")
 
 
@@ -176,20 +164,20 @@ def _solver_params(model: str, p: dict) -> dict:
 
 def tune(spark: SparkSession, model: str, features: DataFrame, folds: DataFrame, cols: list[str], label: str,
          n_trials: int = 100, seed: int = 0, score_split: str = "val", fit_on: str = "train",
-         time_limit: float = 30.0, grams: tuple | None = None) -> DataFrame:
+         time_limit: float = 30.0, grams: dict | None = None) -> DataFrame:
     """Evaluate every trial on shared Grams -> trial log (F8).
 
     ``grams`` (from :func:`fold_grams`) lets several models share one pass over the rows."""
     if model not in GRAM_MODELS:
         raise ValueError(f"{model} is not a Gram-family model")
-    total, grams = grams if grams is not None else fold_grams(features, folds, cols, label)
+    grams = grams if grams is not None else fold_grams(features, folds, cols, label)
     params = trial_params(trial_table(spark, model, n_trials, seed))
     rows = []
     for t in range(n_trials):
         p = params.get(t, {})
         t0 = time.perf_counter()
         try:
-            v = objective(total, grams, GRAM_MODELS[model], _solver_params(model, p), score_split, fit_on)
+            v = objective(grams, GRAM_MODELS[model], _solver_params(model, p), score_split, fit_on)
             state = "ok" if not math.isnan(v) else "failed"
         except Exception:  # noqa: BLE001 - a failed trial is logged, not raised (catch=(Exception,))
             v, state = None, "failed"

@@ -16,11 +16,10 @@ from mortar.plans.registry import query, r6, round_sql
 from mortar.session import materialize
 from mortar.sources.tables import TARGET, mix_valid
 
-SPACE_MODELS = ["ElasticNet", "KNN", "MLP", "PLS"]
-SPACE_TRIALS = 25
+SPACE_MODELS = sorted(TU.SPACES)
 
 
-def _space_sql(model, n, seed=0):
+def _space_sql(model, seed=0):
     parts = []
     nl_u = None
     for spec in TU.SPACES[model]:
@@ -49,23 +48,21 @@ def _space_sql(model, n, seed=0):
             if "{i}" in spec[0]:
                 where = f" WHERE {nm[-1]} < ({nl_u})"
             parts.append(f"SELECT '{model}' AS study, CAST(trial AS INTEGER) AS trial, '{nm}' AS name, "
-                         f"CAST({val} AS DOUBLE) AS value, {text} AS text FROM (SELECT o_orderkey AS trial FROM orders WHERE o_orderkey < "
-                         f"greatest({n}, (SELECT count(*) FROM orders) // 600)){where}")
+                         f"CAST({val} AS DOUBLE) AS value, {text} AS text FROM (SELECT p_partkey AS trial FROM part"
+                         f"){where}")
     return " UNION ALL ".join(parts)
 
 
-@query("search_space", round_sql(" UNION ALL ".join(f"SELECT * FROM ({_space_sql(m, SPACE_TRIALS)})" for m in SPACE_MODELS),
+@query("search_space", round_sql(" UNION ALL ".join(f"SELECT * FROM ({_space_sql(m)})" for m in SPACE_MODELS),
                                  ["value"]))
 def search_space(spark, sf):
-    """Seeded draws for four representative spaces (int/log-int/float/log-float/cat/conditional).
-
-    The number of trials scales with the driver data (one per 600 orders, at least 25)
-    so the work grows with the tables; the oracle uses 25 (the count at sf <= 0.01)."""
+    """Seeded draws for every space (int/log-int/float/log-float/cat/conditional): the trial
+    numbers are the keys of ``part``, so the draws grow with the table."""
     from mortar.sources.tables import table
-    n = max(SPACE_TRIALS, int(table(spark, sf, "orders").count() // 600))
+    ids = table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("trial"))
     out = None
     for m in SPACE_MODELS:
-        t = TU.trial_table(spark, m, n)
+        t = TU.trial_table(spark, m, 0, ids=ids)
         out = t if out is None else out.unionByName(t)
     return r6(out)
 

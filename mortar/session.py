@@ -1,8 +1,8 @@
 """Session helpers: a local session for tests/bench and the shared scratch folder.
 
 On a cluster the session is created by the platform; ``scratch_dir`` then reads the
-shared ``spark.checkpoint.dir`` and never falls back to a machine-local folder unless
-the setting is absent (tests, local runs).
+shared ``spark.checkpoint.dir``; without that setting a cluster run fails, and only a local
+master (tests, local runs) gets a folder of its own.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
     local = tempfile.mkdtemp(prefix="mortar-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)

@@ -160,3 +160,54 @@ def test_stack_fold_matches_numpy(spark):
                                io.loc[tr_ids].to_numpy(), fp.loc[te_ids, fx.ENGINEERED_12].to_numpy(float),
                                STACK_BASES, META_RIDGE)
     assert np.allclose(got.loc[te_ids, "predicted"].to_numpy(), ref, rtol=1e-5, atol=1e-5)
+
+
+def _lstsq(x, y, alpha=0.0):
+    """Independent least squares / ridge on standardised columns (no code shared with the package)."""
+    mu, sd = x.mean(axis=0), x.std(axis=0)
+    sd = np.where(sd > 0, sd, 1.0)
+    z = (x - mu) / sd
+    if alpha:
+        beta = np.linalg.solve(z.T @ z + alpha * np.eye(x.shape[1]), z.T @ (y - y.mean()))
+    else:
+        beta = np.linalg.lstsq(z, y - y.mean(), rcond=1e-7)[0]
+    return y.mean() - (mu / sd) @ beta, beta / sd
+
+
+def test_group_folds_without_cancellation(spark):
+    """A ratio of about 1e11 in one fold's rows must not disturb fits on the others."""
+    from mortar.operators import evaluate as EV
+    from mortar.operators import splits as S
+    base = mix_valid(spark, SF_SMALL)
+    feats = fx.engineer(base, "engineered", TARGET).cache()
+    from mortar.operators import groups as G
+    folds = S.fold_table(base, "group", 5, 1, 0, grouped=G.assign_groups(base))
+    cols = fx.ENGINEERED_12
+    coefs = {r[3]: r for r in EV.fold_coefficients(feats, folds, cols, TARGET, [EV.ModelSpec("ols", "Linear Regression")])}
+    fp = feats.select("row_id", *cols, TARGET).toPandas().set_index("row_id")
+    table = folds.toPandas()
+    assert len(coefs) == 5
+    for fold, row in coefs.items():
+        part = table[table.fold == fold]
+        tr = fp.loc[part[part.split == "train"].row_id]
+        x, y = tr[cols].to_numpy(float), tr[TARGET].to_numpy(float)
+        b0, beta = _lstsq(x, y)
+        want, got = b0 + x @ beta, row[4] + x @ np.array(row[5])
+        r2 = [1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum() for p in (want, got)]
+        assert abs(r2[0] - r2[1]) < 1e-6, (fold, r2)
+
+
+def test_merged_moments_equal_direct():
+    from mortar.operators.gram import Moments, merge_moments, sse
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(60, 3)) * [1, 1e5, 1e-3] + 7, rng.normal(size=60)
+
+    def direct(x, y):
+        dx, dy = x - x.mean(axis=0), y - y.mean()
+        return Moments(len(y), x.mean(axis=0), y.mean(), dx.T @ dx, dx.T @ dy, dy @ dy)
+
+    whole = direct(x, y)
+    merged = merge_moments([direct(x[:10], y[:10]), direct(x[10:11], y[10:11]), direct(x[11:], y[11:])], 3)
+    assert np.allclose(whole.sxx, merged.sxx) and np.allclose(whole.sxy, merged.sxy) and np.isclose(whole.syy, merged.syy)
+    beta = rng.normal(size=3) * [1, 1e-5, 1e3]
+    assert np.isclose(sse(whole, 0.3, beta), ((y - 0.3 - x @ beta) ** 2).sum())
