@@ -10,8 +10,9 @@ windows of a size by one subtraction.
 in one block at least, so the tables of block values find all fingerprints within the radius.
 Candidates are held against the true distance.
 
-*Verification.* A candidate aligns the item with the text; the weighted similarity of their
-5-word shingles (sum of smaller multiplicities over sum of larger) must be 0.75 or more.
+*Verification.* A candidate aligns the item with the text; the weighted similarity of the item's
+5-word shingles and those of the aligned passage, from its first shared one to its last (sum of
+smaller multiplicities over sum of larger), must be 0.75 or more.
 
 The index is built from the benchmark in slices of about ``SLICE_ITEMS`` items (by hash), each
 small enough to send to every task; every slice is searched, so no item is left out. Texts are
@@ -59,12 +60,15 @@ def words_by_piece(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarr
 def clean_run(n_words: int, similarity: float = SIMILARITY) -> int:
     """Words of an item that a passage of the similarity must hold in one unbroken run.
 
-    Of n shingles at most ``n (1 - s) / (1 + s)`` may be missing; an edit inside costs
-    four or more of them, one at an end costs one."""
-    shingles = max(1, n_words - SHINGLE + 1)
-    lost = int(shingles * (1 - similarity) / (1 + similarity) + 1e-9)
-    inner = lost // 4
-    return max(1, min(n_words, (n_words - lost) // (inner + 1)))
+    Every edit inside takes four or more of its n shingles and adds as many others, every word
+    that is cut off or changed at an end takes one: with k edits inside at most
+    ``n (1 - s) - 4 k (1 + s)`` may be missing at the ends. The least run over all k is returned."""
+    n = max(1, n_words - SHINGLE + 1)
+    runs, k = [], 0
+    while (ends := n * (1 - similarity) - 4 * k * (1 + similarity) + 1e-9) >= 0:
+        runs.append((n_words - int(ends) - k) // (k + 1))
+        k += 1
+    return max(1, min(n_words, *runs))
 
 
 def ladder(longest: int) -> list[int]:
@@ -163,19 +167,32 @@ class Index:
                     out.setdefault(t, set()).add((k, s))
         return out
 
+    def similar(self, item: int, words: np.ndarray, start: int) -> tuple[float, int]:
+        """Best weighted similarity of an aligned passage, and its first word.
+
+        The passage is the item's span in the text, as it is or with a few words more at each end
+        (for words put in), trimmed to its first and last shingle of the item."""
+        own, size, best = self.shingles[item], len(self.words[item]), (0.0, 0)
+        for slack in (0, 2 + size // 28):
+            a, b = max(0, start - slack), min(len(words), start + size + slack)
+            here = text_shingles(words[a:b]).tolist()
+            shared = [i for i, h in enumerate(here) if h in own]
+            if shared:
+                part = Counter(here[shared[0]: shared[-1] + 1])
+                both = sum((own & part).values())
+                best = max(best, (both / (own.total() + part.total() - both), a + shared[0]), key=lambda x: (x[0], -x[1]))
+        return best
+
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """``(row, item number, best similarity, its first word, alignments)`` of a column's texts, verified."""
         for row, words, bounds in words_by_piece(column):
             for t, found in sorted(self.candidates(words, bounds).items()):
                 mine, best = words[bounds[t]: bounds[t + 1]], {}
                 for item, start in sorted(found):
-                    a, b = max(0, start), min(len(mine), start + len(self.words[item]))
-                    own, here = self.shingles[item], Counter(text_shingles(mine[a:b]).tolist())
-                    both = sum((own & here).values())
-                    like = both / (own.total() + here.total() - both)
+                    like, first = self.similar(item, mine, start)
                     if like >= self.similarity:
                         old = best.get(item, (0.0, 0, 0))
-                        best[item] = (*max(old[:2], (like, a), key=lambda x: (x[0], -x[1])), old[2] + 1)
+                        best[item] = (*max(old[:2], (like, first), key=lambda x: (x[0], -x[1])), old[2] + 1)
                 for item, m in best.items():
                     yield (row + t, item, *m)
 

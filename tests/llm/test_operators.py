@@ -1,0 +1,441 @@
+"""Operators of mortar.llm against brute force, on small planted tables and on sf0.001."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from mortar.llm import (decontaminate, fingerprint, licenses, mixing, neardup, quality, secrets, sharding, tokencount,
+                        tokenfile)
+from mortar.llm.queries import QUERIES
+from tests.conftest import SF_SMALL
+
+SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
+          "score double, kept boolean, label int, id long, k string, row string")
+BASE = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark forest near the old river bank"
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def edge_rows():
+    near = " ".join(BASE.split() + [f"w{i}" for i in range(80)])
+    texts = [(1, BASE), (2, BASE.upper()), (3, None), (4, ""), (5, "  \n\t "), (6, "one two"), (7, "One  Two"),
+             (8, near), (9, near + " extra"), (10, near.replace("w40", "x40")), (10, near.replace("w40", "x40")),
+             (11, "word " * 30_000), (12, "漢字 ünï \x1c'll <|endoftext|> <s> 'sx"), (None, BASE), (13, "a" * 5_000),
+             (14, "Released under the MIT License. The GNU General Public License and mit license"),
+             (15, 'token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f" and 4734663219866878')]
+    return [(i, t, None if j % 5 == 0 else "en", None if j % 7 == 0 else f"s{j % 3}", None, 0.5, True, 1, 9, "x", "y")
+            for j, (i, t) in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return spark.createDataFrame(edge_rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rows = duckdb.sql(f"select doc_id, text from '{SF_SMALL}/documents.parquet'").fetchall()
+    return {i: t or "" for i, t in rows}
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def shingles(text, table=FOLD):
+    words = re.findall("[^\x20\x09-\x0D]+", text.translate(table))
+    return frozenset(tuple(words[i: i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_components(texts):
+    sets = {i: shingles(t) for i, t in texts.items()}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1:]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in ids}, sets
+
+
+# 1 fingerprints
+def test_fingerprints_query(spark, texts):
+    got = by_id(QUERIES["op1_fingerprints"](spark, SF_SMALL))
+    ids = sorted(texts, reverse=True)
+    for i, j in zip(ids, ids[1:] + ids[:1]):
+        n = len(texts[i]) // 2
+        edited = texts[i][: len(texts[i]) - n] + texts[j][:n]
+        assert got[i].n_chars == len(texts[i])
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        own, new = (fingerprint.fingerprint(t.encode()) for t in (texts[i], edited))
+        assert got[i].fingerprint == fingerprint.to_hex(own) and got[i].edited_fingerprint == fingerprint.to_hex(new)
+        assert got[i].near_edited == fingerprint.likeness(own, new)
+        assert 0 <= got[i].near_next <= 1
+
+
+def test_fingerprints_edges(edge, empty):
+    rows = fingerprint.fingerprints(edge).collect()
+    assert len(rows) == edge.count() and fingerprint.fingerprints(empty).collect() == []
+    prints = collections.defaultdict(set)
+    texts = collections.Counter((r[0], r[1] or "") for r in edge_rows())
+    assert collections.Counter(r.doc_id for r in rows) == collections.Counter(k for k, _ in texts.elements())
+    for r in rows:
+        prints[r.doc_id].add(r.fingerprint)
+    assert prints[3] == prints[4] == {""} and len(prints[10]) == 1 and prints[1] == prints[None]
+
+
+def test_chunks_resist_shifts_and_join_up():
+    text = " ".join(str(i * i) for i in range(4_000)).encode()
+    moved = b"inserted " + text[:9_000] + b"!" + text[9_000:]
+    assert fingerprint.likeness(fingerprint.fingerprint(text), fingerprint.fingerprint(moved)) > 0.97
+    ends = fingerprint.boundaries(np.frombuffer(text, np.uint8))
+    sizes = np.diff([0, *ends])
+    assert ends[-1] == len(text) and sizes.max() <= fingerprint.MOST and sizes[:-1].min() >= fingerprint.LEAST
+
+
+# 2 mixing
+def brute_rake(cells, goals, rounds=200):
+    w = {c: t for c, t in cells.items()}
+    for _ in range(rounds):
+        for d in range(3):
+            sums = collections.Counter()
+            for c, x in w.items():
+                sums[c[d]] += x
+            w = {c: x * goals[d][c[d]] / sums[c[d]] for c, x in w.items()}
+    return w
+
+
+def test_mixture_against_brute_force(spark, texts):
+    rows = QUERIES["op2_mixture"](spark, SF_SMALL).collect()
+    assert len(rows) == len(texts)
+    cells = collections.Counter()
+    for r in rows:
+        cells[(r.source, r.lang, r.topic)] += r.tokens
+    total = sum(cells.values())
+    goals = []
+    for d, m in enumerate(mixing.MARGINS):
+        sums = collections.Counter()
+        for c, t in cells.items():
+            sums[c[d]] += t
+        p = {v: s ** mixing.TEMPER[m] for v, s in sums.items()}
+        goals.append({v: x / sum(p.values()) for v, x in p.items()})
+    want = brute_rake(cells, goals)
+    got = collections.Counter()
+    for r in rows:
+        got[(r.source, r.lang, r.topic)] += r.weight
+    assert max(abs(want[c] - got[c]) for c in cells) < 1e-4
+    assert abs(sum(r.tokens * r.probability for r in rows) - 0.8 * total) < 1e-3 * total
+    assert {r.sampled for r in rows} == {True, False}
+
+
+def test_mixture_edges(edge, empty):
+    assert mixing.mix(edge).count() == edge.count() and mixing.mix(empty).count() == 0
+    kept = mixing.sampled(edge)
+    assert kept.columns == edge.columns
+    assert {3, 4} <= {r.doc_id for r in kept.collect()}
+    one = mixing.mix(edge.where("doc_id = 1"), keep=1.0).first()
+    assert one.probability == 1.0 and one.sampled
+
+
+# 3 token counts
+def test_token_counts(spark, texts):
+    import public_tokenizers
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = by_id(QUERIES["op3_token_counts"](spark, SF_SMALL))
+    for i, t in texts.items():
+        n = len(sp.encode(t))
+        assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len(t.encode()), n > 4096)
+    counter = tokencount.load(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(1)
+    alphabet = [*"abcthe ing  \n\t▁é漢☃　\xa0ü<s>0\x00ﬁ", "the ", " of", "   ", "tion"]
+    for _ in range(3_000):
+        s = "".join(rng.choice(alphabet, rng.integers(0, 40)))
+        for chunk in (1 << 16, 7, 3):
+            assert counter.tokens(s, chunk) == len(sp.encode(s)), s
+
+
+def test_token_counts_edges(edge, empty):
+    rows = tokencount.count_tokens(edge, "piece_bpe_32k.model").collect()
+    assert len(rows) == edge.count() and tokencount.count_tokens(empty, "piece_bpe_32k.model").count() == 0
+    assert all(r.n_tokens == 0 for r in rows if r.doc_id in (3, 4))
+
+
+# 4 decontamination
+def test_decontamination_finds_what_brute_force_finds(spark):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 7)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([3, 5, 9, 15, 22, 33, 41, 60, 90, 130])]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        filler = lambda n: [word() for _ in range(n)]
+        docs.append((len(docs), " ".join(filler(20) + w + filler(11))))
+        docs.append((len(docs), (" ".join(filler(5)) + ". " + t.upper() + "!")))
+        for edits in (1, 2, 4):
+            v = list(w)
+            for _ in range(edits):
+                v[rng.integers(len(v))] = word()
+            docs.append((len(docs), " ".join(filler(30) + v)))
+    docs += [(len(docs) + k, " ".join(word() for _ in range(200))) for k in range(20)] + [(900, None), (901, "")]
+    bench = spark.createDataFrame(items + [(98, None), (99, "")], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(frame, bench).collect()}
+    cut = lambda t: re.findall("[0-9a-z]+", (t or "").lower())
+
+    def bag(w):
+        return collections.Counter(tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4)) if w)
+
+    want = {}
+    for d, t in docs:
+        w = cut(t)
+        for i, it in items:
+            own = cut(it)
+            best = 0.0
+            for s in range(-len(own) + 1, len(w)):
+                span = w[max(0, s): s + len(own)]
+                list_ = [tuple(span[k: k + 5]) for k in range(max(1, len(span) - 4))]
+                shared = [k for k, x in enumerate(list_) if x in bag(own)]
+                if shared:
+                    here = collections.Counter(list_[shared[0]: shared[-1] + 1])
+                    both = sum((bag(own) & here).values())
+                    best = max(best, both / (bag(own).total() + here.total() - both))
+            if best >= 0.75:
+                want[(d, i)] = best
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    left = {r.doc_id for r in decontaminate.clean(frame, bench, slice_items=4).collect()}
+    assert left == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_hamming_search_is_complete():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    index = decontaminate.Index([(0, " ".join(f"w{i}" for i in range(30)))])
+    size, tables = next(iter(index.sizes.items()))
+    prints = tables[0]
+    mine = np.concatenate([prints ^ np.uint64(1 << int(rng.integers(64))) ^ np.uint64(1 << int(rng.integers(64)))
+                           for _ in range(40)] + [decontaminate.simhashes(decontaminate.running_bits(words, size), size)])
+    where, which = index.close(mine, tables)
+    found = set(zip(where.tolist(), which.tolist()))
+    want = {(a, b) for a in range(len(mine)) for b in range(len(prints))
+            if bin(int(mine[a] ^ prints[b])).count("1") <= index.radius}
+    assert found == want
+
+
+def test_decontamination_edges(spark, edge, empty):
+    bench = spark.createDataFrame([(1, BASE)], "item_id long, text string")
+    none = bench.where("false")
+    rows = decontaminate.contaminated(edge, bench).collect()
+    assert {r.doc_id for r in rows} == {1, 2, 8, 9, 10, None} and all(r.similarity == 1.0 for r in rows)
+    assert decontaminate.contaminated(empty, bench).count() == decontaminate.contaminated(edge, none).count() == 0
+    assert decontaminate.clean(edge, none).count() == edge.count()
+
+
+# 5 secrets
+def test_secrets(spark, edge, empty):
+    rows = QUERIES["op5_secrets"](spark, "/root/testdata/sf0.01").collect()
+    docs = dict(duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    keys = {(i, m.start(1)) for i, t in docs.items() for m in re.finditer('(?i)token = "([0-9a-f]{40})"', t)}
+    hit = {(r.doc_id, r.start) for r in rows if r.secret}
+    assert keys and keys <= hit
+    assert not any(docs[r.doc_id][r.start: r.start + r.length].isdigit() for r in rows if r.secret)
+    found = secrets.scan(edge).collect()
+    assert {(r.doc_id, r.secret) for r in found if r.doc_id == 15} == {(15, True), (15, False)}
+    assert secrets.scan(empty).count() == 0
+
+
+def test_forest_on_held_out_findings(spark):
+    rows = secrets.candidates(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where(
+        ~F.isnan("label")).select("value", "label", "x").toPandas()
+    held = rows.value.map(lambda v: zlib.crc32(v.encode()) % 4 == 0)
+    model = secrets.fit(spark.createDataFrame(rows[~held][["x", "label"]]))
+    got = model.transform(spark.createDataFrame(rows[held][["x", "label"]]).withColumn(
+        "features", secrets.array_to_vector("x"))).select("label", "prediction").toPandas()
+    assert len(got) > 20 and (got.label == got.prediction).mean() > 0.95
+
+
+# 6 quality
+def test_quality_on_held_out_labels(spark, edge, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    train = labels.where("doc_id % 2 = 0")
+    model = quality.fit(docs, train, max_labelled=1_000, max_pool=1_000)
+    test = quality.score(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    good = test[test.quality == 1]
+    assert (test.keep == (test.quality == 1)).mean() > 0.97 and good.keep.mean() > 0.985
+    assert quality.score(edge, model).count() == edge.count() and quality.score(empty, model).count() == 0
+    assert quality.kept(edge, model).columns == edge.columns
+    none = labels.where("false")
+    assert quality.fit(edge, none) is None
+    assert quality.kept(edge, None).count() == edge.count()
+
+
+# 7 licenses
+def test_license_scan(spark, texts, edge, empty):
+    pattern = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    phrases = {tuple(k.split()): v for k, v in licenses.PHRASES.items()}
+
+    def check(rows, text_of):
+        for r in rows:
+            w = pattern.findall(text_of(r).translate(FOLD))
+            at = [(p, v) for p in range(len(w)) for k, v in phrases.items() if tuple(w[p: p + len(k)]) == k]
+            starts = [p for p, _ in at]
+            assert (r.n_words, r.n_base) == (len(w), len(at))
+            assert (r.first_word, r.last_word) == ((min(starts), max(starts)) if at else (None, None))
+            assert r.base_labels == ",".join(sorted({v for _, v in at}))
+            assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+
+    check(QUERIES["op7_license_scan"](spark, SF_SMALL).collect(), lambda r: texts[r.doc_id])
+    own = {r[0]: r[1] or "" for r in edge_rows()}
+    rows = licenses.scan(edge).collect()
+    check(rows, lambda r: own[r.doc_id])
+    assert len(rows) == edge.count() and licenses.scan(empty).count() == 0
+    assert {r.labels for r in rows if r.doc_id == 14} == {"gpl,mit,mit-release"}
+
+
+# 8 near-duplicates
+def test_near_duplicates(spark, texts):
+    want, sets = brute_components(texts)
+    for i, r in by_id(QUERIES["op8_near_duplicates"](spark, SF_SMALL)).items():
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[i]), want[i], want[i] == i)
+
+
+def test_near_duplicates_of_one_edited_text(spark):
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(150):  # copies that are near the original, near each other, or neither
+        w = list(base)
+        for p in rng.choice(150, rng.integers(0, 9), replace=False):
+            w[p] = f"e{i}x{p}"
+        rows.append((int(rng.permutation(10_000)[0]) * 1_000 + i, " ".join(w)))
+    want, _ = brute_components(dict(rows))
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r.component_id for i, r in got.items()} == want
+
+
+def test_near_duplicate_edges(edge, empty):
+    rows = neardup.near_duplicates(edge).collect()
+    assert len(rows) == edge.count() and neardup.near_duplicates(empty).count() == 0
+    comp = {r.doc_id: r.component_id for r in rows}
+    assert (comp[1], comp[2], comp[6], comp[7], comp[8], comp[9], comp[10]) == (1, 1, 6, 6, 8, 8, 8)
+    assert (comp[3], comp[4], comp[5], comp[None]) == (3, 4, 5, None)
+    kept = neardup.deduplicated(edge)
+    assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} == {1, 3, 4, 5, 6, 8, 11, 12, 13, 14, 15, None}
+
+
+# 9 token files
+def token_rows(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return [np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+
+
+def test_token_file_query(spark, texts):
+    got, start = by_id(QUERIES["op9_token_file"](spark, SF_SMALL)), 0
+    ids = sorted(texts)
+    for i, raw in zip(ids, token_rows([texts[i] for i in ids])):
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(raw) // 4, zlib.crc32(raw))
+        start += len(raw) // 4
+
+
+@pytest.mark.parametrize("kind", ["byte", "bit"])
+def test_token_file_edges(spark, edge, empty, tmp_path, kind):
+    path = f"file://{tmp_path}/{kind}"
+    tokenfile.write_token_file(edge, path, "byte_bpe_50k.json", kind=kind, block_ids=64)
+    rows = sorted(tokenfile.read_documents(spark, path).collect(), key=lambda r: r.start)
+    own = sorted(((r[0] if r[0] is not None else -1, r[1] or "") for r in edge_rows()))
+    assert [bytes(r.ids) for r in rows] == token_rows([t for _, t in own])
+    assert [r.start for r in rows] == np.cumsum([0, *[r.n_tokens for r in rows[:-1]]]).tolist()
+    tokenfile.write_token_file(empty, path + "-none", "byte_bpe_50k.json")
+    assert tokenfile.read_documents(spark, path + "-none").count() == 0
+
+
+def test_units_encode_like_whole_texts():
+    import public_tokenizers
+    enc = tokenfile.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(6)
+    alphabet = [*"abthe ing  \n\t漢☃　\xa0ü0.,\x1c\x85'", "the ", " of", " \n", "'s", "<|endoftext|>", "..", "\r\n"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 30))) for _ in range(3_000)]
+    assert [e + b"\0\0\0\0" for e in enc.encode(texts)] == token_rows(texts)
+
+
+# 10 sharding
+def check_shards(rows, n=8):
+    sizes = collections.Counter(r.shard for r in rows)
+    assert max(sizes.get(s, 0) for s in range(n)) - min(sizes.get(s, 0) for s in range(n)) <= 1
+    for s in range(n):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sizes.get(s, 0)))
+    assert {r.law for r in rows} <= {"rows"}
+
+
+def test_shards(spark, texts, edge, empty):
+    rows = QUERIES["op10_shards"](spark, SF_SMALL).collect()
+    check_shards(rows)
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), None)
+    rows = sharding.shard_rows(edge).collect()
+    check_shards(rows)
+    assert len(rows) == edge.count() and sharding.shard_rows(empty).count() == 0
+
+
+def test_links_stay_together(spark):
+    rows = [(i, f"t{i // 4}", 0) for i in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size int")
+    got = sharding.shard_rows(docs).collect()
+    check_shards(got)
+    groups = collections.defaultdict(list)
+    for r in got:
+        groups[r.doc_id // 4].append(r.shard)
+    same = sum(len(set(g)) == 1 for g in groups.values())
+    assert same > 0.6 * len(groups)  # by hash alone: 0.2 %
+    hot = spark.createDataFrame([(i, "one", 0) for i in range(900)] + rows[:600], "doc_id long, text string, size int")
+    check_shards(sharding.shard_rows(hot).collect())
+
+
+# pipeline
+def test_pipeline(spark, texts):
+    out = by_id(corpus_pipeline.run(spark, SF_SMALL))
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
+    model = quality.fit(docs, labels)
+    good = {r.doc_id for r in quality.score(docs, model).where("keep").collect()}
+    comp, _ = brute_components({i: texts[i] for i in good})
+    reps = {i for i in good if comp[i] == i}
+    held = docs.where(F.col("doc_id").isin(list(reps)))
+    bad = {r.doc_id for r in decontaminate.contaminated(held, bench).collect()}
+    left = held.where(~F.col("doc_id").isin(list(bad))) if bad else held
+    mixed = {r.doc_id for r in mixing.mix(left, corpus_pipeline.KEEP_TOKENS).where("sampled").collect()}
+    assert set(out) == mixed
+    check_shards(list(out.values()))
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stage_edges(spark, edge, empty, name, stage):
+    out = stage(spark, edge, SF_SMALL)
+    assert out.count() > 0 and stage(spark, empty, SF_SMALL).count() == 0
+    if name != "sharding":
+        assert out.columns == edge.columns
