@@ -23,15 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from mortar.llm.common import pieces, utf8_column
+
 BLOCK_IDS = 1 << 16
+PIECE = 4 << 20  # bytes of texts that are encoded at a time (a longer text by itself)
 UNITS, PARTS = 1_000_000, 300_000  # bounds of the tables of known units
 #: White space other than the plain space and the line feed: texts with it take the slower cut.
 ODD_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_ODD = f"  | \n|\n |^ | $|[{ODD_SPACES}]"
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _SIMPLE = re.compile(f"[{_LETTERS}\n!-&(-~]+")
 _WORD = re.compile(f" ?[{_LETTERS}]+")
@@ -49,73 +54,100 @@ def as_bytes(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """Ids of texts, as little-endian uint32 bytes, by the library's encoding of their units.
+    """Ids of texts by the library's encoding of their units.
 
     The vocabulary's splitting pattern always starts a new piece at a single space between two
     other characters, so ids of a text are those of its units in turn. A unit of ASCII and Latin
-    letters without an apostrophe or an empty line also splits between letters and others.
-    What was encoded before is looked up."""
+    letters without an apostrophe or an empty line also splits between letters and others. The
+    distinct units of about ``PIECE`` bytes of texts are looked up, the new ones are encoded, and
+    the texts' ids are gathered from theirs."""
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(file)
+        self.model = self.tokenizer.model
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.joined = Tokenizer.from_file(file)  # the same model, cut at line feeds only
-        self.joined.pre_tokenizer = pre_tokenizers.Split(BYTE_CHARS[10], "isolated")
-        self.feed = self.tokenizer.token_to_id(BYTE_CHARS[10])
-        self.units: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.special = "|".join(map(re.escape, added))
+        self.units: dict[str, bytes] = {}  # after a space
+        self.inner: dict[str, bytes] = {}  # parts of units, not after a space
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts that the pattern leaves whole: one call for all, with line feeds between."""
-        if not parts:
-            return []
-        mapped = "\n".join(parts).encode().decode("latin-1").translate(BYTE_CHARS)
-        ids = np.array(self.joined.encode(mapped, add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(ids == self.feed)
-        starts, ends = np.concatenate(([0], at + 1)) * 4, np.concatenate((at, [len(ids)])) * 4
-        raw = ids.tobytes()
-        return [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-    def new_units(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of units after a space."""
-        cut = [_PARTS.findall(" " + u) if _SIMPLE.fullmatch(u) and "\n\n" not in u else [" " + u] for u in units]
-        lacking = list({p for c in cut for p in c if p not in self.parts})
-        if len(self.parts) + len(lacking) > PARTS:
-            self.parts.clear()
-            lacking = list({p for c in cut for p in c})
-        known = self.parts
+    def words(self, mapped: list[str]) -> list[bytes]:
+        """Ids of parts that the pattern leaves whole, in the byte-level alphabet, by the library's model."""
+        tokenize = self.model.tokenize
+        return [as_bytes([t.id for t in tokenize(w)]) for w in mapped]
+
+    def learn(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of new units after a space."""
+        if len(self.units) + len(units) > UNITS:
+            self.units.clear()
+        if len(self.inner) + len(units) > PARTS:
+            self.inner.clear()
+        known, inner = self.units, self.inner
+        plain = [u for u in units if u.isascii() and u.isalpha()]
+        known.update(zip(plain, self.words([BYTE_CHARS[32] + u for u in plain]), strict=True))
+        cut = [(u, _PARTS.findall(" " + u) if _SIMPLE.fullmatch(u) and "\n\n" not in u else [" " + u])
+               for u in units if u not in known]
+        lacking = {p[0] for _, p in cut if p[0][1:] not in known}
+        lacking.update(q for _, p in cut for q in p[1:] if q not in inner)
         whole = [p for p in lacking if _WORD.fullmatch(p)]
-        known.update(zip(whole, self.words(whole), strict=True))
-        other = [p for p in lacking if p not in known]
-        known.update(zip(other, self.library(other), strict=True))
-        return {u: known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for u, c in zip(units, cut)}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str]] = []
-        for t in texts:
-            if self.special is not None and self.special.search(t):
-                cut.append([t])  # special strings: the library sees the whole text
-            elif "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or any(c in t for c in ODD_SPACES):
-                cut.append(_CUT.split(t))
-            else:
-                cut.append(t.split(" "))
-        heads = self.library([c[0] for c in cut])
-        get = self.units.get
-        found = [list(map(get, c[1:])) for c in cut]
-        lacking = {u for c, f in zip(cut, found) if None in f for u, v in zip(c[1:], f) if v is None}
+        other = list(lacking.difference(whole))
+        mapped = "\n".join(whole).encode().decode("latin-1").translate(BYTE_CHARS).split(BYTE_CHARS[10])
+        for some, ids in ((whole, self.words(mapped) if whole else []), (other, self.library(other))):
+            for p, raw in zip(some, ids, strict=True):
+                if p[0] == " ":
+                    known[p[1:]] = raw
+                else:
+                    inner[p] = raw
+        for u, p in cut:
+            if len(p) > 1:
+                known[u] = b"".join([known[p[0][1:]], *[inner[q] for q in p[1:]]])
+        return known
+
+    def cut(self, texts: pa.Array) -> tuple[list[str], pa.Array, np.ndarray]:
+        """``(heads, units, counts)``: what comes before the first cut of each text, and its units after it."""
+        odd = pc.match_substring_regex(texts, _ODD)
+        whole = pc.match_substring_regex(texts, self.special) if self.special else pa.repeat(False, len(texts))
+        lists = pc.split_pattern(texts, " ")
+        unusual = np.flatnonzero(np.asarray(pc.or_(odd, whole)))
+        if len(unusual):  # special strings: the library sees the whole text
+            parts = [[t] if w else _CUT.split(t) for t, w in zip(
+                texts.take(pa.array(unusual)).to_pylist(), whole.take(pa.array(unusual)).to_pylist(), strict=True)]
+            at = np.arange(len(texts))
+            at[unusual] = len(texts) + np.arange(len(unusual))
+            lists = pa.concat_arrays([lists, pa.array(parts, lists.type)]).take(pa.array(at))
+        counts = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+        flat, first = lists.flatten(), np.cumsum(counts) - counts
+        rest = np.ones(len(flat), bool)
+        rest[first] = False
+        return flat.take(pa.array(first)).to_pylist(), flat.filter(pa.array(rest)), counts - 1
+
+    def encode(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, sizes)``: the ids of all texts in turn, ``end`` after each, and how many each has."""
+        heads, units, counts = self.cut(texts)
+        coded = units.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.units.get, distinct))
+        lacking = [u for u, f in zip(distinct, found) if f is None]
         if lacking:
-            fresh = self.new_units(list(lacking))
-            found = [[fresh[u] if v is None else v for u, v in zip(c[1:], f)] if None in f else f
-                     for c, f in zip(cut, found)]
-            if len(self.units) + len(fresh) > UNITS:
-                self.units.clear()
-            self.units.update(fresh)
-        return [h + b"".join(f) for h, f in zip(heads, found)]
+            known = self.learn(lacking)
+            found = [known[u] if f is None else f for u, f in zip(distinct, found)]
+        pool = [*found, *self.library(heads), end]
+        sizes = np.fromiter(map(len, pool), np.int32, len(pool)) // 4
+        ends = np.cumsum(counts + 2)  # a text's runs: head, units, end
+        runs = np.full(ends[-1], len(pool) - 1, np.int32)
+        heads_at = ends - counts - 2
+        runs[heads_at] = len(found) + np.arange(len(heads))
+        rest = np.ones(len(runs), bool)
+        rest[heads_at] = rest[ends - 1] = False
+        runs[rest] = np.asarray(coded.indices)
+        many = sizes[runs]
+        stop = np.cumsum(many)
+        first = np.cumsum(sizes) - sizes
+        at = np.repeat(first[runs] - (stop - many), many) + np.arange(stop[-1])
+        return np.frombuffer(b"".join(pool), "<u4")[at], np.diff(stop[ends - 1], prepend=0)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -175,7 +207,7 @@ def encoded_blocks(docs: DataFrame, model: str, end_id: int = 0, kind: str = "by
 
         def cut(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, ready, starts, base
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             at = 0
             while ready - at >= block_ids or last and ready > at:
                 here = ids[at: at + block_ids]
@@ -188,17 +220,18 @@ def encoded_blocks(docs: DataFrame, model: str, end_id: int = 0, kind: str = "by
                      pa.array([[dict(zip(("doc_id", "offset", "n_tokens"), s)) for s in mine]], doc_type)],
                     ["part", "first", "n_ids", "kind", "planes", "docs"])
                 at, base = at + len(here), base + len(here)
-            held, ready = [ids[at:].tobytes()], ready - at
+            held, ready = [ids[at:].copy()], ready - at
 
         for b in batches:
             key_type = b.column(0).type
-            keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for i in range(0, len(texts), 256):
-                for k, raw in zip(keys[i: i + 256], enc.encode(texts[i: i + 256]), strict=False):
-                    n = len(raw) // 4 + 1
-                    starts.append((k, base + ready, n))
-                    held += [raw, end]
-                    ready += n
+            keys, texts = b.column(0).to_pylist(), b.column(1).fill_null("")
+            _, offsets = utf8_column(texts)
+            for i, j in pieces(offsets, PIECE):
+                ids, sizes = enc.encode(texts.slice(i, j - i), end)
+                at = (base + ready + np.cumsum(sizes) - sizes).tolist()
+                starts += zip(keys[i: j], at, sizes.tolist(), strict=True)
+                held.append(ids)
+                ready += len(ids)
                 if ready >= block_ids:
                     yield from cut(False)
         if ready:
