@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mortar.operators import linear
+from mortar.operators import marks as MK
 from mortar.operators.gram import collect_grams, fold_moments, gram_agg, moments, shift_means
 
 FOLD_KEYS = ["regime", "repeat", "fold"]
@@ -50,8 +51,13 @@ def fold_coefficients(features: DataFrame, folds: DataFrame, cols: list[str], la
     With ``with_means`` each row also carries the target mean of the fold's train / val /
     test rows (read off the same Grams), so the metric pass needs no second aggregate."""
     data = features.select("row_id", *cols, label)
+    return solve_folds(fold_moments(data, folds, cols + [label]), specs, with_means)
+
+
+def solve_folds(moments_of: dict, specs: list[ModelSpec], with_means: bool = False) -> list[tuple]:
+    """Step 3 on the moments of every fold's splits."""
     rows = []
-    for key, parts in sorted(fold_moments(data, folds, cols + [label]).items()):
+    for key, parts in sorted(moments_of.items()):
         means = [float(parts[s].my) if s in parts and parts[s].n > 0 else None for s in ("train", "val", "test")]
         for spec in specs:
             b0, beta = linear.SOLVERS[spec.solver](parts["train"], **spec.params)
@@ -70,11 +76,23 @@ COEF_SCHEMA = T.StructType([
 def gram_cv_predictions(features: DataFrame, folds: DataFrame, cols: list[str], label: str,
                         specs: list[ModelSpec], feature_set: str) -> DataFrame:
     """I1 for Gram models: the F4 prediction table for every spec and fold."""
-    spark = features.sparkSession
-    schema = T.StructType(COEF_SCHEMA.fields + [T.StructField(f"__m_{s}", T.DoubleType()) for s in ("train", "val", "test")])
-    coefs = spark.createDataFrame(fold_coefficients(features, folds, cols, label, specs, with_means=True), schema)
+    coefs = fold_coefficients(features, folds, cols, label, specs, with_means=True)
     data = features.select("row_id", *cols, F.col(label).alias("actual"))
-    j = folds.join(data, "row_id").join(F.broadcast(coefs), FOLD_KEYS)
+    return _predictions(folds.join(data, "row_id"), coefs, cols, feature_set)
+
+
+def marked_cv_predictions(marked: DataFrame, cols: list[str], label: str, specs: list[ModelSpec], feature_set: str,
+                          k: int = 5) -> DataFrame:
+    """I1 on rows that carry their folds (:mod:`mortar.operators.marks`): the same table, no fold table, no shuffle."""
+    coefs = solve_folds(MK.marked_moments(marked, cols + [label], k), specs, with_means=True)
+    data = marked.select("row_id", *cols, F.col(label).alias("actual"), "tests", "vals")
+    return _predictions(MK.fold_rows(data, k), coefs, cols, feature_set)
+
+
+def _predictions(rows: DataFrame, coefs: list[tuple], cols: list[str], feature_set: str) -> DataFrame:
+    """Step 4 on fold rows that carry the features and ``actual``."""
+    schema = T.StructType(COEF_SCHEMA.fields + [T.StructField(f"__m_{s}", T.DoubleType()) for s in ("train", "val", "test")])
+    j = rows.join(F.broadcast(rows.sparkSession.createDataFrame(coefs, schema)), FOLD_KEYS)  # models x folds
     ybar = F.when(F.col("split") == "train", F.col("__m_train")).when(F.col("split") == "val", F.col("__m_val")) \
         .otherwise(F.col("__m_test"))
     return j.select("model", F.lit(feature_set).alias("feature_set"), "regime", "repeat", "fold", "split",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mortar.plans import q_board, q_eval, q_knn, q_models, q_prep, q_score, q_sources, q_trees, q_tune  # noqa: F401
+from mortar.plans import q_board, q_eval, q_knn, q_models, q_pairs, q_prep, q_score, q_sources, q_trees, q_tune  # noqa: F401
 from mortar.plans.registry import CHECKS, ORACLES, QUERIES  # noqa: F401
 
 

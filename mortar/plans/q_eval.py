@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mortar.functions import features as fx
 from mortar.operators import evaluate as EV
 from mortar.operators import groups as G
+from mortar.operators import marks as MK
 from mortar.operators import metrics as M
 from mortar.operators import splits as S
 from mortar.operators import stats as ST
@@ -40,7 +41,8 @@ def metrics_pooled(spark, sf):
     return r6(M.metrics_pooled(fixture_predictions(spark, sf)))
 
 
-def _summary_sql():
+def summary_sql(ctes):
+    """G10 over the metrics in CTE ``met``."""
     cols = []
     for s in M.SPLITS:
         for m, c in (("r2", "R2"), ("mae", "MAE"), ("rmse", "RMSE")):
@@ -50,10 +52,10 @@ def _summary_sql():
             f"avg(CASE WHEN split = 'train' THEN R2 END) - avg(CASE WHEN split = 'test' THEN R2 END) AS overfit_gap "
             f"FROM met GROUP BY model, feature_set, regime")
     names = [f"{s}_{m}_{x}" for s in M.SPLITS for m in ("r2", "mae", "rmse") for x in ("mean", "std")] + ["overfit_gap"]
-    return round_sql(with_ctes(body, **_met_ctes(MKEYS)), names)
+    return round_sql(with_ctes(body, **ctes), names)
 
 
-@query("fold_summary", _summary_sql())
+@query("fold_summary", summary_sql(_met_ctes(MKEYS)))
 def fold_summary(spark, sf):
     return r6(M.fold_summary(M.metrics_all(fixture_predictions(spark, sf))))
 
@@ -182,9 +184,13 @@ def study_frame(spark, sf, mode="engineered"):
 
 def gram_cv_summary(spark, sf, specs, regime="random", mode="engineered", feature_set="engineered_12"):
     base, feats, cols = study_frame(spark, sf, mode)
-    grouped = materialize(G.assign_groups(base)) if regime == "group" else None
-    folds = materialize(S.fold_table(base, regime, 5, 5, 0, grouped=grouped))
-    pred = EV.gram_cv_predictions(feats, folds, cols, TARGET, specs, feature_set)
+    if regime == "random":
+        # spread over the cluster first: an id is hashed for every (repeat, fold), in three passes
+        marked = materialize(MK.fold_marks(materialize(feats), 5, 5, 0), by=None)
+        pred = EV.marked_cv_predictions(marked, cols, TARGET, specs, feature_set)
+    else:
+        folds = materialize(S.fold_table(base, regime, 5, 5, 0, grouped=materialize(G.assign_groups(base))))
+        pred = EV.gram_cv_predictions(feats, folds, cols, TARGET, specs, feature_set)
     return r6(M.fold_summary(M.metrics_all(pred)))
 
 

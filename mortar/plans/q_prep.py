@@ -131,17 +131,17 @@ def split_inner_random(spark, sf):
 GKF_CTES = dict(**GROUP_CTES, **Q.group_kfold_sql())
 
 
-def _recursive(sql: str) -> str:
-    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+def recursive(sql: str) -> str:
+    return sql if "WITH RECURSIVE" in sql else sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("split_group_kfold", _recursive(with_ctes(
+@query("split_group_kfold", recursive(with_ctes(
     "SELECT 0 AS repeat, grp.row_id, gmap.fold FROM grp JOIN gmap USING (group_id)", **GKF_CTES)))
 def split_group_kfold(spark, sf):
     return S.group_kfold(_grouped(spark, sf), 5)
 
 
-@query("split_inner_group", _recursive(with_ctes("SELECT * FROM gfolds", **GKF_CTES, **Q.inner_group_sql())))
+@query("split_inner_group", recursive(with_ctes("SELECT * FROM gfolds", **GKF_CTES, **Q.inner_group_sql())))
 def split_inner_group(spark, sf):
     return S.fold_table(mix_valid(spark, sf), "group", grouped=_grouped(spark, sf))
 
@@ -186,7 +186,7 @@ def split_oof(spark, sf):
     return S.oof_folds_random(folds, 5, 0)
 
 
-@query("leakage_audit", _recursive(with_ctes(
+@query("leakage_audit", recursive(with_ctes(
     "SELECT regime, repeat, fold, count(*) FILTER (WHERE in_test = 1 AND all_test = 0) AS n_straddling, "
     "count(*) FILTER (WHERE in_test = 1) AS n_test_groups FROM ("
     " SELECT regime, repeat, fold, group_id, max(CAST(split = 'test' AS INTEGER)) AS in_test, "

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mortar.operators import groups as G
+from mortar.operators import marks as MK
 from mortar.operators import splits as S
 from mortar.sources.tables import mix_valid
 from tests.conftest import SF_SMALL
@@ -99,3 +100,14 @@ def test_run_pieces_random_loads():
             seq.append(f)
         got = [fs[(i - a) % c] for a, b, c, fs in pieces for i in range(a, b)]
         assert got == seq and new == cur
+
+
+def test_fold_marks_equal_fold_table(spark):
+    base = mix_valid(spark, SF_SMALL)
+    small = base.orderBy("row_id").limit(3)
+    for df, repeats in ((base, 3), (small, 2), (base.limit(0), 2)):
+        rows = MK.fold_rows(MK.fold_marks(df.select("row_id"), 5, repeats, 0))
+        got = sorted((r["repeat"], r["fold"], r["row_id"], r["split"]) for r in rows.collect())
+        want = sorted((r["repeat"], r["fold"], r["row_id"], r["split"])
+                      for r in S.fold_table(df, "random", 5, repeats, 0).collect())
+        assert got == want
