@@ -6,21 +6,26 @@
 * For the Gram family a trial costs one p x p solve per fold on Grams computed once:
   validation R^2 comes straight from the validation Gram (``SSE = w' G_val w``), so 100
   trials x 5 folds re-read no rows at all.
-* Each trial is timed; a trial over the limit is logged as ``timeout`` with value -inf
-  (I8), failures as ``failed`` (I6 skips them when picking the best).
+* A trial runs in a thread with a job group of its own (:func:`limited`): at the limit the
+  group's jobs are cancelled and the trial is logged as ``timeout`` with value -inf (I8),
+  failures as ``failed`` (I6 skips them when picking the best).
+* MLlib models (:func:`tune_fits`) fit every fold per trial and score it by one aggregate.
 """
 
 from __future__ import annotations
 
 import math
 import time
+import uuid
+from collections.abc import Callable
 
 import numpy as np
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mortar.functions.hashing import h
-from mortar.operators import linear
+from mortar.operators import linear, trees
 from mortar.operators.gram import fold_moments, merge_moments, sse
 
 # Search spaces (name, kind, low, high, choices) per model, as in the study.
@@ -172,18 +177,67 @@ def tune(spark: SparkSession, model: str, features: DataFrame, folds: DataFrame,
         raise ValueError(f"{model} is not a Gram-family model")
     grams = grams if grams is not None else fold_grams(features, folds, cols, label)
     params = trial_params(trial_table(spark, model, n_trials, seed))
+    run = lambda p: objective(grams, GRAM_MODELS[model], _solver_params(model, p), score_split, fit_on)
+    return trial_log(spark, model, n_trials, params, run, time_limit)
+
+
+LOG_SCHEMA = "study string, trial int, params map<string,string>, value double, state string, seconds double"
+
+
+def limited(spark: SparkSession, name: str, fn: Callable[[], float], limit: float) -> tuple[float | None, str, float]:
+    """I8: ``(value, state, seconds)`` of ``fn`` under a time limit that cancels its Spark jobs.
+
+    A fit that starts job after job is cancelled again until its thread has ended."""
+    sc, group, box = spark.sparkContext, f"trial-{uuid.uuid4().hex}", {}
+
+    def body():
+        sc.setJobGroup(group, name, interruptOnCancel=True)
+        try:
+            box["value"] = fn()
+        except Exception as e:  # noqa: BLE001 - a failed trial is logged, not raised
+            box["error"] = e
+
+    t0 = time.perf_counter()
+    thread = InheritableThread(target=body, daemon=True)
+    thread.start()
+    thread.join(limit)
+    late = thread.is_alive()
+    while thread.is_alive():
+        sc.cancelJobGroup(group)
+        thread.join(0.1)
+    seconds = time.perf_counter() - t0
+    if late:
+        return float("-inf"), "timeout", seconds
+    value = box.get("value")
+    return (None, "failed", seconds) if value is None or math.isnan(value) else (value, "ok", seconds)
+
+
+def trial_log(spark: SparkSession, model: str, n_trials: int, params: dict[int, dict], run: Callable[[dict], float],
+              time_limit: float) -> DataFrame:
+    """The trial log (F8) of ``run`` over the drawn parameters, each trial under the limit."""
     rows = []
     for t in range(n_trials):
         p = params.get(t, {})
-        t0 = time.perf_counter()
-        try:
-            v = objective(grams, GRAM_MODELS[model], _solver_params(model, p), score_split, fit_on)
-            state = "ok" if not math.isnan(v) else "failed"
-        except Exception:  # noqa: BLE001 - a failed trial is logged, not raised (catch=(Exception,))
-            v, state = None, "failed"
-        dt = time.perf_counter() - t0
-        if dt > time_limit:
-            v, state = float("-inf"), "timeout"
-        rows.append((model, t, {k: str(x) for k, x in p.items()}, v if state != "failed" else None, state, dt))
-    return spark.createDataFrame(rows, "study string, trial int, params map<string,string>, value double, "
-                                       "state string, seconds double")
+        value, state, seconds = limited(spark, f"{model} trial {t}", lambda: run(p), time_limit)
+        rows.append((model, t, {k: str(x) for k, x in p.items()}, value, state, seconds))
+    return spark.createDataFrame(rows, LOG_SCHEMA)
+
+
+def tune_fits(spark: SparkSession, model: str, features: DataFrame, folds: DataFrame, cols: list[str], label: str,
+              n_trials: int = 50, seed: int = 0, score_split: str = "val", time_limit: float = 30.0) -> DataFrame:
+    """I6-I8 for the MLlib models: a fit per (trial, fold) on the train rows, mean R^2 of ``score_split``."""
+    assembled = trees.assemble(features, cols, label)
+    keys = [tuple(r) for r in folds.select(*trees.KEYS).distinct().orderBy(*trees.KEYS).collect()]  # fold layout only
+
+    def run(p: dict) -> float:
+        scores = []
+        for key in keys:
+            train, rows = trees.fold_frames(folds, assembled, key, model)
+            held = trees.estimator(model, p).fit(train).transform(rows.where(F.col("split") == score_split))
+            r = held.agg(F.sum((F.col("label") - F.col("prediction")) ** 2).alias("sse"), F.var_pop("label").alias("v"),
+                         F.count(F.lit(1)).alias("n")).first()
+            if r["n"] >= 2:
+                scores.append(1.0 - r["sse"] / (r["v"] * r["n"]) if r["v"] > 0 else float(r["sse"] == 0))
+        return float(np.mean(scores)) if scores else float("nan")
+
+    return trial_log(spark, model, n_trials, trial_params(trial_table(spark, model, n_trials, seed)), run, time_limit)

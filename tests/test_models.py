@@ -7,6 +7,7 @@ import __spark_entry__ as E
 from mortar.functions import features as fx
 from mortar.operators import smogn as SM
 from mortar.operators import splits as S
+from mortar.operators import tune as TU
 from mortar.sources.tables import TARGET, mix_valid
 from tests.conftest import SF_MID, SF_SMALL
 
@@ -27,9 +28,20 @@ def test_model_beats_mean_and_train_at_least_test(spark, name):
     assert row["train_r2_mean"] >= row["test_r2_mean"] - 0.05
 
 
-def test_tuning_log_shape(spark):
+def test_slow_trials_are_cancelled(spark):
     log = E.queries()["tune_timeout"](spark, SF_SMALL).collect()
     assert len(log) == 10 and all(r["state"] == "timeout" and r["value"] == float("-inf") for r in log)
+    assert max(r["seconds"] for r in log) < 15  # whole trials take minutes
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
+def test_limit_keeps_values_and_failures(spark):
+    assert TU.limited(spark, "ok", lambda: float(spark.range(5).count()), 60.0)[:2] == (5.0, "ok")
+    assert TU.limited(spark, "nan", lambda: float("nan"), 60.0)[:2] == (None, "failed")
+    assert TU.limited(spark, "error", lambda: 1 / 0, 60.0)[:2] == (None, "failed")
+
+
+def test_tuning_log_shape(spark):
     best = E.queries()["best_trial_tuned"](spark, SF_SMALL).collect()[0]
     assert best["n_trials"] == 30 and best["best_value"] is not None
 
