@@ -82,11 +82,11 @@ def gram_cv_predictions(features: DataFrame, folds: DataFrame, cols: list[str],
 
 
 def marked_cv_predictions(marked: DataFrame, cols: list[str], label: str, specs: list[ModelSpec], feature_set: str,
-                          k: int = 5) -> DataFrame:
+                          k: int = 5, regime: str = "random") -> DataFrame:
     """I1 on rows that carry their folds (:mod:`mortar.operators.marks`): the same table, no fold table, no shuffle."""
-    coefs = solve_folds(MK.marked_moments(marked, cols + [label], k), specs, with_means=True)
+    coefs = solve_folds(MK.marked_moments(marked, cols + [label], k, regime), specs, with_means=True)
     data = marked.select("row_id", *cols, F.col(label).alias("actual"), "tests", "vals")
-    return _predictions(MK.fold_rows(data, k), coefs, cols, feature_set)
+    return _predictions(MK.fold_rows(data, k, regime), coefs, cols, feature_set)
 
 
 def _predictions(rows: DataFrame, coefs: list[tuple], cols: list[str], feature_set: str) -> DataFrame:

@@ -49,11 +49,11 @@ def reached(hashed: Column, cut: tuple | None) -> Column:
     return (hashed > F.lit(cut[0])) | ((hashed == F.lit(cut[0])) & (F.col("row_id") >= F.lit(cut[1])))
 
 
-def fold_marks(df: DataFrame, k: int = 5, repeats: int = 5, seed: int = 0, frac: float = VAL_FRAC) -> DataFrame:
+def fold_marks(df: DataFrame, k: int = 5, repeats: int = 5, seed: int = 0, frac: float | None = VAL_FRAC) -> DataFrame:
     """``df`` (with ``row_id``) and ``tests array<int>``, ``vals array<int>``, an entry per repeat.
 
-    ``tests[r]``: the row's test fold (E1); bit f of ``vals[r]``: it is a validation row of fold f (E4).
-    The same rows as :func:`mortar.operators.splits.fold_table` gives in long form."""
+    ``tests[r]``: the row's test fold (E1); bit f of ``vals[r]``: it is a validation row of fold f (E4);
+    without ``frac`` there are none. The same rows as :func:`mortar.operators.splits.fold_table` gives in long form."""
     starts = lambda n: F.transform(  # noqa: E731 - first rank of folds 1 .. k - 1
         F.sequence(F.lit(1), F.lit(k - 1)), lambda f: f * F.floor(n / k) + F.least(f, n % k))
     test_hash = {f"__h{r}": h(F.lit(r + seed), F.col("row_id")) for r in range(repeats)}
@@ -70,6 +70,9 @@ def fold_marks(df: DataFrame, k: int = 5, repeats: int = 5, seed: int = 0, frac:
                                                      for f in range(k - 1)]) for r in range(repeats)}
         return rows.withColumns(at).drop(*test_hash)
 
+    names = [F.col(f"__t{r}") for r in range(repeats)]
+    if frac is None:
+        return tested(df).select(*df.columns, F.array(*names).alias("tests"), F.array(*[F.lit(0)] * repeats).alias("vals"))
     each = tested(df.select("row_id")).select("row_id", F.explode(F.array(*[
         F.when(F.col(f"__t{r}") != f, F.struct(F.lit(r).alias("repeat"), F.lit(f).alias("fold"), hv.alias("__h")))
         for (r, f), hv in val_hash.items()])).alias("v"))
@@ -79,8 +82,7 @@ def fold_marks(df: DataFrame, k: int = 5, repeats: int = 5, seed: int = 0, frac:
     bit = lambda r, f: F.when((F.col(f"__t{r}") != f)
                               & ~reached(F.col(f"__v{r}_{f}"), vcuts.get((r, f), {}).get(0)), 1 << f).otherwise(0)
     vals = [reduce(lambda x, y: x + y, [bit(r, f) for f in range(k)]) for r in range(repeats)]
-    return marked.select(*df.columns, F.array(*[F.col(f"__t{r}") for r in range(repeats)]).alias("tests"),
-                         F.array(*vals).alias("vals"))
+    return marked.select(*df.columns, F.array(*names).alias("tests"), F.array(*vals).alias("vals"))
 
 
 def per_repeat(marked: DataFrame, regime: str = "random") -> DataFrame:

@@ -167,12 +167,13 @@ def _solver_params(model: str, p: dict) -> dict:
     return out
 
 
-def tune(spark: SparkSession, model: str, features: DataFrame, folds: DataFrame, cols: list[str], label: str,
+def tune(spark: SparkSession, model: str, features: DataFrame, folds: DataFrame | None, cols: list[str], label: str,
          n_trials: int = 100, seed: int = 0, score_split: str = "val", fit_on: str = "train",
          time_limit: float = 30.0, grams: dict | None = None) -> DataFrame:
     """Evaluate every trial on shared Grams -> trial log (F8).
 
-    ``grams`` (from :func:`fold_grams`) lets several models share one pass over the rows."""
+    ``grams`` (from :func:`fold_grams`) lets several models share one pass over the rows; ``folds`` is not
+    read then."""
     if model not in GRAM_MODELS:
         raise ValueError(f"{model} is not a Gram-family model")
     grams = grams if grams is not None else fold_grams(features, folds, cols, label)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mortar.functions import features as fx
 from mortar.operators import evaluate as EV
 from mortar.operators import groups as G
+from mortar.operators import marks as MK
 from mortar.operators import metrics as M
 from mortar.operators import splits as S
 from mortar.operators import stacking as ST
@@ -74,13 +75,13 @@ def vif_summary(spark, sf):
 def protocol_table(spark, sf):
     """OLS under 5x20 and 10x10 random K-fold and exact LOOCV -> test, std, train, gap."""
     base = mix_valid(spark, sf)
-    feats = fx.engineer(base, "engineered", TARGET)
+    feats = materialize(fx.engineer(base, "engineered", TARGET))
     cols = fx.ENGINEERED_12
     spec = [EV.ModelSpec("Linear Regression", "Linear Regression")]
     out = []
     for k, r, label in ((5, 20, "5x20"), (10, 10, "10x10")):
-        folds = materialize(S.plain_folds(S.kfold(base, k, r, 0), k, label))
-        fm = M.metrics_all(EV.gram_cv_predictions(feats, folds, cols, TARGET, spec, "engineered_12"))
+        marked = materialize(MK.fold_marks(feats, k, r, 0, frac=None), by=None)
+        fm = M.metrics_all(EV.marked_cv_predictions(marked, cols, TARGET, spec, "engineered_12", k, label))
         out.append(fm.groupBy("model", "regime").agg(
             F.avg(F.when(F.col("split") == "test", F.col("R2"))).alias("test_r2"),
             F.stddev_pop(F.when(F.col("split") == "test", F.col("R2"))).alias("test_r2_std"),
@@ -100,17 +101,19 @@ def protocol_table(spark, sf):
 
 @query("ablation_grid", check="NP")
 def ablation_grid(spark, sf):
-    """Model x feature set x regime grid through one fold table per regime."""
+    """Model x feature set x regime grid; the folds of a regime are found once."""
     base = mix_valid(spark, sf)
-    grouped = materialize(G.assign_groups(base))
+    both = materialize(fx.engineer(base, "both", TARGET))  # holds the columns of the other sets
+    marked = materialize(MK.fold_marks(both, 5, 5, 0), by=None)
+    folds = materialize(S.fold_table(base, "group", grouped=materialize(G.assign_groups(base))))
     specs = [EV.ModelSpec("Linear Regression", "Linear Regression"), EV.ModelSpec("Ridge", "Ridge", {"alpha": 1.0})]
     out = None
     for regime in ("random", "group"):
-        folds = materialize(S.fold_table(base, regime, 5, 5, 0, grouped=grouped))
         for mode, fs in (("raw", "raw"), ("engineered", "engineered_12"), ("both", "both")):
-            feats = fx.engineer(base, mode, TARGET)
-            cols = [c for c in feats.columns if c not in ("row_id", TARGET)]
-            s = M.fold_summary(M.metrics_all(EV.gram_cv_predictions(feats, folds, cols, TARGET, specs, fs)))
+            cols = [c for c in fx.engineer(base, mode, TARGET).columns if c not in ("row_id", TARGET)]
+            pred = (EV.marked_cv_predictions(marked, cols, TARGET, specs, fs) if regime == "random"
+                    else EV.gram_cv_predictions(both, folds, cols, TARGET, specs, fs))
+            s = M.fold_summary(M.metrics_all(pred))
             out = s if out is None else out.unionByName(s)
     return r6(out)
 

@@ -10,6 +10,7 @@ from mortar.functions import features as fx
 from mortar.functions.hashing import h_sql
 from mortar.operators import groups as G
 from mortar.operators import leaderboard as L
+from mortar.operators import marks as MK
 from mortar.operators import splits as S
 from mortar.operators import tune as TU
 from mortar.plans.registry import query, r6, round_sql
@@ -75,11 +76,12 @@ def _tune_many(spark, sf, models, regime, n_trials=50, time_limit=30.0):
     if regime == "group":
         grouped = materialize(G.assign_groups(base))
         folds = materialize(S.fold_table(base, "group", grouped=grouped))
+        grams = TU.fold_grams(feats, folds, cols, TARGET)
         mode = ("val", "train")
     else:
-        folds = materialize(S.fold_table(base, "random", 5, 3, 0))
+        folds = None  # the moments are all that the trials need
+        grams = MK.marked_moments(materialize(MK.fold_marks(materialize(feats), 5, 3, 0), by=None), [*cols, TARGET])
         mode = ("test", "trainval")
-    grams = TU.fold_grams(feats, folds, cols, TARGET)
     logs = [TU.tune(spark, m, feats, folds, cols, TARGET, n, 0, mode[0], mode[1], time_limit, grams=grams)
             for m, n in models]
     return L.union_scores(*logs)
