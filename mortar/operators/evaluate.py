@@ -144,11 +144,11 @@ def loo_ols_predictions(features: DataFrame, cols: list[str], label: str, featur
             if wgt != 0.0:
                 hat = hat + F.lit(float(wgt)) * xs[i] * xs[j]
     resid = F.col(label) - fit
-    pred = F.col(label) - resid / (F.lit(1.0) - hat)
+    pred = F.col(label) - F.try_divide(resid, F.lit(1.0) - hat)  # null where no fit exists without the row
     from mortar.operators.rank import rank_by_numeric
     ranked = rank_by_numeric(data, "row_id", out="fold")
     return ranked.select(F.lit(model).alias("model"), F.lit(feature_set).alias("feature_set"),
-                         F.lit("loocv").alias("regime"), F.lit(0).alias("repeat"), F.col("fold").cast("int").alias("fold"),
+                         F.lit("loocv").alias("regime"), F.lit(0).alias("repeat"), F.col("fold").cast("long").alias("fold"),
                          F.lit("test").alias("split"), "row_id", F.col(label).alias("actual"), pred.alias("predicted"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mortar.functions.hashing import h, hash_bucket
-from mortar.operators.rank import DEFAULT_BUCKET_BITS, assign_by_rank, exact_row_number, rank_by_numeric
+from mortar.operators.rank import DEFAULT_BUCKET_BITS, assign_by_rank, rank_by_numeric
 
 VAL_FRAC = 0.2
 MAX_BROADCAST_PIECES = 2_000_000
@@ -41,14 +41,6 @@ def n_val_of(n: Column, frac: float = VAL_FRAC) -> Column:
     return F.greatest(F.lit(1), F.bround(n * F.lit(frac), 0).cast("long"))
 
 
-def _hash_rank(df: DataFrame, hcol: Column, id_col: str, partition_by: list[str], out: str,
-               total: str | None) -> DataFrame:
-    tmp = df.withColumn("__h", hcol)
-    ranked = exact_row_number(tmp, [F.col("__h"), F.col(id_col)], hash_bucket(F.col("__h"), DEFAULT_BUCKET_BITS),
-                              partition_by, out=out, total_col=total)
-    return ranked.drop("__h")
-
-
 def _hash_assign(df: DataFrame, hcol: Column, id_col: str, partition_by: list[str], rank_fn, out: str) -> DataFrame:
     tmp = df.withColumn("__h", hcol)
     res = assign_by_rank(tmp, [F.col("__h"), F.col(id_col)], hash_bucket(F.col("__h"), DEFAULT_BUCKET_BITS),
@@ -66,13 +58,6 @@ def kfold(df: DataFrame, k: int = 5, repeats: int = 5, seed: int = 0, id_col: st
     return res.select("repeat", "row_id", "fold")
 
 
-def _hash_assign(df: DataFrame, hcol: Column, id_col: str, partition_by: list[str], rank_fn, out: str) -> DataFrame:
-    tmp = df.withColumn("__h", hcol)
-    res = assign_by_rank(tmp, [F.col("__h"), F.col(id_col)], hash_bucket(F.col("__h"), DEFAULT_BUCKET_BITS),
-                         partition_by, rank_fn, out)
-    return res.drop("__h")
-
-
 # ----------------------------------------------------------------------------- E10
 def contiguous_kfold(df: DataFrame, k: int = 5, id_col: str = "row_id") -> DataFrame:
     """Unshuffled K-fold in row order -> ``(row_id, fold)``."""
