@@ -416,6 +416,48 @@ def test_links_stay_together(spark):
     check_shards(sharding.shard_rows(hot).collect())
 
 
+def test_groups_are_split_by_quota_only(spark):
+    sizes = [5] * 60 + [10] * 40 + [30] * 20 + [100] * 4
+    rows = [(i, f"t{g}") for i, g in enumerate(np.repeat(np.arange(len(sizes)), sizes).tolist())]
+    free = rows + [(10_000 + i, f"single {i}") for i in range(6_000)]  # they fill what the groups leave
+    for rows, most in ((free, 0), ([(i, f"t{i // 20}") for i in range(4_000)], 2 * 8)):  # or: no room but by cuts
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sharding.shard_rows(docs).collect()
+        check_shards(got)
+        shard, groups = {r.doc_id: r.shard for r in got}, collections.defaultdict(set)
+        for i, t in rows:
+            groups[t].add(shard[i])
+        assert sum(len(g) > 1 for g in groups.values()) <= most
+
+
+def test_propagation_goes_on_to_the_end(spark):
+    links = [(i, i // 50 * 50) for i in range(1_500) if i % 50]  # scattered stars and a ring, room enough
+    links += [(2_000 + i, 2_000 + (i + 1) % 40) for i in range(40)]
+    ids = sorted({i for pair in links for i in pair})
+    nodes = spark.createDataFrame([(i,) for i in ids], "id long").withColumn("label", sharding.start_label(4, F.col("id")))
+    edges = spark.createDataFrame(links, "a long, b long")
+    at = {r.id: r.label for r in sharding.propagate(nodes, edges, 4, 8_000).collect()}
+    assert all(at[a] == at[b] for a, b in links if a < 2_000)
+    beside = collections.defaultdict(collections.Counter)
+    for a, b in links:
+        beside[a][at[b]] += 1
+        beside[b][at[a]] += 1
+    assert all(beside[i][at[i]] == max(beside[i].values()) for i in ids)
+
+
+def test_accepted_moves():
+    assert sharding.accepted_moves([10, 10], [[0, 4], [3, 0]], 10) == [[0, 3], [3, 0]]
+    assert sharding.accepted_moves([10, 8], [[0, 4], [0, 0]], 10) == [[0, 2], [0, 0]]
+    assert not any(map(any, sharding.accepted_moves([10, 12, 10], [[0, 4, 4], [0, 0, 3], [0, 0, 0]], 10)))
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        size, flow = rng.integers(0, 30, 5), rng.integers(0, 4, (5, 5)) * (1 - np.eye(5, dtype=int))
+        flow = np.minimum(flow, size[:, None] // 5)
+        taken = np.array(sharding.accepted_moves(size.tolist(), flow.tolist(), 15))
+        after = size - taken.sum(axis=1) + taken.sum(axis=0)
+        assert (taken <= flow).all() and (taken >= 0).all() and (after <= np.maximum(size, 15)).all()
+
+
 # pipeline
 def test_pipeline(spark, texts):
     out = by_id(corpus_pipeline.run(spark, SF_SMALL))
