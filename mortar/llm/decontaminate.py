@@ -11,8 +11,8 @@ in one block at least, so the tables of block values find all fingerprints withi
 Candidates are held against the true distance.
 
 *Verification.* A candidate aligns the item with the text; the weighted similarity of the item's
-5-word shingles and those of the aligned passage, from its first shared one to its last (sum of
-smaller multiplicities over sum of larger), must be 0.75 or more.
+5-word shingles and those of the best passage there, of any length and from a shared one to a
+shared one (sum of smaller multiplicities over sum of larger), must be 0.75 or more.
 
 The index is built from the benchmark in slices of about ``SLICE_ITEMS`` items (by hash), each
 small enough to send to every task; every slice is searched, so no item is left out. Texts are
@@ -21,7 +21,6 @@ read once a slice and never shuffled.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,7 +104,7 @@ class Index:
             for i in np.flatnonzero(np.diff(bounds)):
                 self.ids.append(items[a + i][0])
                 self.words.append(words[bounds[i]: bounds[i + 1]])
-        self.shingles = [Counter(text_shingles(w).tolist()) for w in self.words]
+        self.keys = [np.unique(text_shingles(w), return_counts=True) for w in self.words]
         steps = np.array(ladder(max(map(len, self.words), default=1)))
         found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for k, w in enumerate(self.words):
@@ -168,20 +167,39 @@ class Index:
         return out
 
     def similar(self, item: int, words: np.ndarray, start: int) -> tuple[float, int]:
-        """Best weighted similarity of an aligned passage, and its first word.
-
-        The passage is the item's span in the text, as it is or with a few words more at each end
-        (for words put in), trimmed to its first and last shingle of the item."""
-        own, size, best = self.shingles[item], len(self.words[item]), (0.0, 0)
-        for slack in (0, 2 + size // 28):
-            a, b = max(0, start - slack), min(len(words), start + size + slack)
-            here = text_shingles(words[a:b]).tolist()
-            shared = [i for i, h in enumerate(here) if h in own]
-            if shared:
-                part = Counter(here[shared[0]: shared[-1] + 1])
-                both = sum((own & part).values())
-                best = max(best, (both / (own.total() + part.total() - both), a + shared[0]), key=lambda x: (x[0], -x[1]))
-        return best
+        """Best weighted similarity of a passage around an alignment, and its first word (0, 0: none enough).
+
+        A passage alike enough has at most ``n / s`` shingles (n: the item's), so all that meet the
+        item's span lie within so many words of it. Of these the best is taken, over all its first
+        and last shingles that are the item's; ties: the first, then the shortest."""
+        own, many = self.keys[item]
+        n, size = int(many.sum()), min(SHINGLE, len(self.words[item]))
+        most = int(n / self.similarity + 1e-9)
+        a, b = max(0, start - most - SHINGLE), max(0, start + len(self.words[item]) + most + SHINGLE)
+        here = text_shingles(words[a:b], size)
+        spot = np.minimum(np.searchsorted(own, here), len(own) - 1)
+        at = np.flatnonzero(own[spot] == here)
+        least = max(1, int(np.ceil(n * self.similarity - 1e-9)))
+        if len(at) < least:
+            return 0.0, 0
+        spot = spot[at]
+        # a shared shingle counts unless the passage holds as many of it before as the item has
+        order, back = np.argsort(spot, kind="stable"), np.full(len(at), -1)
+        gap, group = many[spot[order]], np.arange(len(at))
+        same = group - gap >= 0
+        same[same] = spot[order][group[same] - gap[same]] == spot[order][group[same]]
+        back[order[same]] = order[group[same] - gap[same]]
+        best, first = 0.0, 0
+        for i in range(len(at) - least + 1):
+            end = int(np.searchsorted(at, at[i] + most))  # passages of at most so many shingles
+            if end - i < least:
+                continue
+            both = np.cumsum(back[i:end] < i)[least - 1:]
+            like = both / (n + (at[i + least - 1:end] - at[i] + 1) - both)
+            top = float(like.max())
+            if top > best:
+                best, first = top, a + int(at[i])
+        return best, first
 
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """``(row, item number, best similarity, its first word, alignments)`` of a column's texts, verified."""

@@ -227,6 +227,44 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert left == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_decontamination_of_inserted_and_deleted_runs(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 7)))
+    items = [(i, [word() for _ in range(n)]) for i, n in enumerate([4, 12, 30, 60, 60, 104])]
+    items[4] = (4, items[4][1][:20] * 3)  # shingles that repeat
+    docs = []
+    for _, w in items:
+        n = len(w)
+        for many in (0, 1, n // 8, n // 7, n // 5, n // 3):
+            for at in (n // 2, n // 4, n - 6):
+                at, fill = max(1, at), [word() for _ in range(20)]
+                docs.append(fill + w[:at] + [word() for _ in range(many)] + w[at:] + fill)
+                docs.append(fill + w[:at] + w[at + many:] + fill[:7])
+        docs.append(w[n // 2:] + w[:n // 2])
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontaminate.contaminated(frame, bench).collect()}
+    want = {}
+    for d, w in enumerate(docs):
+        for i, own in items:
+            size = min(5, len(own))
+            mine = [tuple(w[k: k + size]) for k in range(len(w) - size + 1)]
+            bag = collections.Counter(tuple(own[k: k + size]) for k in range(len(own) - size + 1))
+            total, shared = bag.total(), [k for k, x in enumerate(mine) if x in bag]
+            best = (0.0, 0)
+            for a in shared:  # all spans of all lengths
+                left, both = bag.copy(), 0
+                for k in range(a, len(mine)):
+                    if left[mine[k]] > 0:
+                        left[mine[k]] -= 1
+                        both += 1
+                    best = max(best, (both / (total + k - a + 1 - both), -a))
+            if best[0] >= 0.75:
+                want[(d, i)] = (best[0], -best[1])
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()} and len(want) > 60
+    assert all(abs(got[k][0] - want[k][0]) < 1e-12 for k in want)
+
+
 def test_hamming_search_is_complete():
     rng = np.random.default_rng(3)
     words = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
