@@ -4,8 +4,9 @@
 values, its minimum and its maximum, so half as many permutations fill the bands. Minima and
 maxima go to bands of their own, which keeps the estimate unbiased.
 
-*Candidates.* Documents with the same word sequence are one class with its smallest id as
-representative; only representatives are banded. A bucket (band value) of many documents is
+*Candidates.* Documents with the same word sequence are one class, named by the sequence's hash
+(not by a document: rows of one id may have different texts); each class is banded once, and
+classes are led back to ids after their links are found. A bucket (band value) of many documents is
 never expanded into all pairs: its members meet one hub, the member that meets most others.
 Verified stars are joined into components, and buckets whose members lie in one component are
 done. Members of the others are compared across components only, by an exact prefix filter
@@ -50,15 +51,32 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix64(mix64(parts * step).sum(axis=1, dtype=np.uint64) + np.arange(len(parts), dtype=np.uint64)).view(np.int64)
 
 
+def sequence_hashes(words: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two hashes of a text's word sequence."""
+    size = len(words)
+    return ((words * powers(WORD_STEP, size)).sum(dtype=np.uint64) + np.uint64(size),
+            (mix64(words) * powers(SHINGLE_STEP, size)).sum(dtype=np.uint64))
+
+
+def sequences(rows: DataFrame) -> DataFrame:
+    """``id, text`` of rows ``id, text``, with the hashes ``s1, s2`` of the word sequence as id."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = np.array([sequence_hashes(words) for _, words in per_text_words(b.column(0))], np.uint64)
+            pairs = pairs.reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), b.column(0)], ["s1", "s2", "text"])
+
+    return rows.select("text").mapInArrow(run, "s1 long, s2 long, text string").select(
+        F.struct("s1", "s2").alias("id"), "text")
+
+
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``id, n, s1, s2, bands``: shingles in the set, hash of the word sequence, band values (none if empty)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, seq, bands = [], [], []
             for _, words in per_text_words(b.column(1)):
-                size = len(words)
-                seq.append(((words * powers(WORD_STEP, size)).sum(dtype=np.uint64) + np.uint64(size),
-                            (mix64(words) * powers(SHINGLE_STEP, size)).sum(dtype=np.uint64)))
+                seq.append(sequence_hashes(words))
                 found = np.unique(text_shingles(words))
                 n.append(len(found))
                 bands.append(band_keys(min_max(found)) if len(found) else np.zeros(0, np.int64))
@@ -198,20 +216,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id"
     Repeated rows each have a row; other columns are not read; an empty table gives an empty one."""
     base = written(signatures(docs, key, text), "signatures")
     named = base.where("id is not null")
-    classes = named.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-    held = named.join(classes, ["s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "id"))
-    place = saved(held.select("id", "n", "rep"))
-    reps = held.where("rep = id and n > 0").dropDuplicates(["s1", "s2"]).select("rep", "n", "bands")
+    classes = named.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("first"))
+    held = named.join(classes, ["s1", "s2"], "left").withColumn("first", F.coalesce("first", "id"))
+    place = saved(held.select("id", "n", "first"))
+    reps = written(held.where("first = id and n > 0").dropDuplicates(["s1", "s2"]).select(
+        F.struct("s1", "s2").alias("rep"), "n", "bands", "first"), "classes")
+    firsts = reps.select("rep", "first")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-        return rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
-
-    links = links_between(reps, texts_of, percent)
-    shared = place.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    comp = components(links.select("a", "b").unionByName(shared)).withColumnRenamed("id", "rep")
-    out = place.join(comp, "rep", "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        wanted = firsts.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").select(F.col("first").alias("id"))
+        return sequences(rows.join(wanted, "id", "left_semi")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+    links = links_between(reps.drop("first"), texts_of, percent)
+    for end in ("a", "b"):
+        links = links.join(firsts.withColumnRenamed("rep", end), end).drop(end).withColumnRenamed("first", end)
+    # all classes of one id: each with the least of them
+    several = place.groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("z")).where("a <> z").select("id", "a")
+    shared = place.join(several, "id").where("first <> a").select("a", F.col("first").alias("b")).distinct()
+    comp = components(links.select("a", "b").unionByName(shared)).withColumnRenamed("id", "first")
+    out = place.join(comp, "first", "left").select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
     lost = base.where("id is null").select(F.col("id").alias(key), F.col("n").alias("n_shingles"),
                                            F.col("id").alias("component_id"))
     return out.unionByName(lost).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

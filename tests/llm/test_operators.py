@@ -372,6 +372,37 @@ def test_near_duplicates_of_one_edited_text(spark):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = np.random.default_rng(10)
+    texts = []
+    for g in range(40):  # each text once with an edited copy
+        w = [f"g{g}w{i}" for i in range(60)]
+        texts += [" ".join(w), " ".join([*w[:30], "edit", *w[31:]])]
+    ids = [int(i) for i in rng.permutation(80) + 100]
+    rows = list(zip(ids, texts))
+    rows += [(7, texts[2 * g]) for g in range(0, 24, 2)] + [(500, texts[60]), (500, texts[60]), (500, texts[64]), (501, texts[66])]
+    rows += [(90 + k, f"{k} " + " ".join(f"h{g}w{i}" for i in range(50))) for k, g in ((0, 1), (0, 2), (0, 3))]
+    rows += [(300 + g, "9 " + " ".join(f"h{g}w{i}" for i in range(50))) for g in (1, 2, 3)] + [(600, ""), (600, texts[70])]
+    sets, parent = [shingles(t) for _, t in rows], {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, (i, _) in enumerate(rows):
+        for m in range(n):
+            both = len(sets[n] & sets[m])
+            if both and 100 * both >= 75 * (len(sets[n]) + len(sets[m]) - both):
+                a, b = find(i), find(rows[m][0])
+                parent[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "text")
+    got = neardup.near_duplicates(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == collections.Counter(
+        (i, len(s), find(i)) for (i, _), s in zip(rows, sets))
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_near_duplicate_edges(edge, empty):
     rows = neardup.near_duplicates(edge).collect()
     assert len(rows) == edge.count() and neardup.near_duplicates(empty).count() == 0
