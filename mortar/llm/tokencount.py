@@ -16,7 +16,7 @@ emits ``count(new prefix) - count(old prefix)``.
 *Chunks.* A text is cut into chunks of fixed length; the map of a chunk on states is known
 from (its part before the first reset, the tokens between, its part after the last reset), as
 a reset sends every state to the start state. Maps compose associatively, so ``compose``
-gives the count by a prefix scan in any bracketing, and long texts need no sequential run.
+gives the count by a prefix scan in any bracketing, but the fold over a text's chunks is sequential.
 
 Counts of whole units are kept in a table bounded by ``MEMO_UNITS``; states by ``MAX_STATES``.
 """
