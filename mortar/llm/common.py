@@ -82,12 +82,13 @@ def powers(step: np.uint64, n: int) -> np.ndarray:
     return known[:n]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of non-space bytes) of several texts: ``(starts, ends, first)``.
+def word_spans(data: np.ndarray, offsets: np.ndarray,
+               space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of non-space bytes, or of bytes outside ``space``) of several texts: ``(starts, ends, first)``.
 
     ``first[i]`` is the index of text i's first word; words never cross texts. ``offsets``
     are relative to ``data``."""
-    inside = ~IS_SPACE[data]
+    inside = ~space[data]
     n = len(data)
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True

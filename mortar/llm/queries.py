@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mortar.llm import (decontaminate, fingerprint, licenses, mixing, neardup, quality, secrets, sharding, tokencount,
-                        tokenfile)
+from mortar.llm import (decontaminate, fingerprint, licenses, mixing, neardup, quality, repair, secrets, sharding,
+                        tokencount, tokenfile, toxicity, whitening)
 from mortar.llm.common import table
 from mortar.session import scratch_dir
 
@@ -75,3 +75,19 @@ def op9_token_file(spark, sf_dir):
 @query
 def op10_shards(spark, sf_dir):
     return sharding.shard_rows(documents(spark, sf_dir), n_shards=8)
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), n_components=8)
+
+
+@query
+def op13_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
