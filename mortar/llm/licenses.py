@@ -38,7 +38,8 @@ TEMPLATES = {
 
 def words_of(text: Column) -> Column:
     """Words of a text: runs of digits, ASCII letters (folded) and non-ASCII characters."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD)
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    parts = F.split(low, NOT_WORD)
     return F.filter(parts, lambda w: w != "")
 
 
@@ -58,7 +59,7 @@ def template_grams(spark: SparkSession, phrases: dict[str, str], templates: dict
 
 
 def votes(docs: DataFrame, grams: DataFrame, key: str, text: str) -> DataFrame:
-    """Hits aggregated by row, template and diagonal: ``n`` bigrams between words ``lo`` and ``hi``."""
+    """Hits aggregated by row, template and diagonal: its bigrams' ``places`` in the template, first and last word."""
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), words_of(F.col(text)).alias("words"))
     rolled = rows.select("k", "h", F.posexplode(bigrams(F.col("words"))).alias("i", "g"))
     rolled = rolled.select("k", "h", "i", F.col("g.w").alias("w"), F.col("g.v").alias("v"),
@@ -66,14 +67,15 @@ def votes(docs: DataFrame, grams: DataFrame, key: str, text: str) -> DataFrame:
     table = F.broadcast(grams.withColumn("x", F.xxhash64("w", "v")))  # fixed templates: a few hundred rows
     hits = rolled.join(table, ["x"]).where((rolled["w"] == table["w"]) & (rolled["v"] == table["v"]))
     return hits.groupBy("k", "h", "label", "base", "size", (F.col("i") - F.col("j")).alias("d")).agg(
-        F.countDistinct("j").cast("int").alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+        F.array_sort(F.collect_set("j")).alias("places"), F.min("i").alias("lo"), F.max("i").alias("hi"))
 
 
 def spans(found: DataFrame, max_shift: int = MAX_SHIFT, least_share: float = LEAST_SHARE) -> DataFrame:
     """Verified spans: neighbouring diagonals of a template merged, then held against its size.
 
     Diagonals stay together while each is at most ``max_shift`` from the one before and its words
-    lie within the span so far (plus ``max_shift``); phrases need every bigram on one diagonal."""
+    lie within the span so far (plus ``max_shift``); phrases need every bigram on one diagonal. A place of the
+    template counts once, however many diagonals hold it."""
     side = Window.partitionBy("k", "h", "label", "base").orderBy("d")
     before = side.rowsBetween(Window.unboundedPreceding, -1)
     new = (F.col("base") | (F.col("d") - F.lag("d").over(side) > max_shift)
@@ -81,7 +83,7 @@ def spans(found: DataFrame, max_shift: int = MAX_SHIFT, least_share: float = LEA
     parts = found.withColumn("new", F.coalesce(new, F.lit(True)).cast("int"))
     parts = parts.withColumn("span", F.sum("new").over(side))
     merged = parts.groupBy("k", "h", "label", "base", "size", "span").agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     share = F.least(F.lit(1.0), F.col("n") / F.col("size"))
     need = F.when(F.col("base"), F.lit(1.0)).otherwise(F.lit(least_share))
     close = F.col("base") | (F.col("hi") - F.col("lo") + 1 <= F.col("size") + 2 * max_shift)
