@@ -4,8 +4,9 @@ Documents are summed into cells (source x language x topic). Raking scales the c
 weights to one target margin after the other until all margins fit; the fitted cells give each
 document a weight, and inclusion probabilities proportional to it are calibrated so that the
 expected number of sampled tokens is the budget (cells that would need more than all their
-documents are taken whole, and the rest carries their share). A document is sampled when its
-hash falls under its probability, so the decision does not depend on other rows or on partitions.
+documents are taken whole, and the rest carries their share). A document is sampled when the
+hash of its key and text falls under its probability, so the decision does not depend on other rows or on
+partitions. Rows that share key and text draw one by one: their hash takes in their place in the table.
 
 Cells stay a distributed table; only single numbers reach the driver. Up to ``CELL_BOUND`` cells
 they are put into one partition, as a round then needs no shuffle, and are broadcast to the
@@ -140,25 +141,44 @@ def with_probability(docs: DataFrame, cells: DataFrame, n_cells: int, key: str =
     Texts without tokens belong to no cell: weight null, probability 1, as they cost nothing."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *features(docs, text))
     right = cells.select(*MARGINS, "weight", "probability", F.col("tokens").alias("cell"))
+    rows = rows.withColumn("draw", unit_hash(F.lit("mix"), F.col(f"row.{key}"), F.col(f"row.{text}")))
+    rows = redrawn(rows)
     found = rows.join(F.broadcast(right) if n_cells <= CELL_BOUND else right, list(MARGINS), "left")
     p = F.coalesce("probability", F.lit(1.0))
     return found.withColumn("weight", F.col("weight") * F.col("tokens") / F.col("cell")).withColumn(
-        "probability", p).withColumn("sampled", unit_hash(F.lit("mix"), F.col(f"row.{key}")) < F.col("probability"))
+        "probability", p).withColumn("sampled", F.col("draw") < F.col("probability"))
+
+
+def redrawn(rows: DataFrame) -> DataFrame:
+    """``rows`` whose equal draws (repeated rows) are drawn anew by their place in the table.
+
+    Without repeats nothing is joined; the values that repeat are broadcast only after they are counted."""
+    again = saved(rows.groupBy(F.col("draw").alias("same")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("same"))
+    n = again.count()
+    if n == 0:
+        return rows
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    joined = placed.join(F.broadcast(again) if n <= CELL_BOUND else again, placed["draw"] == again["same"], "left")
+    return joined.withColumn("draw", F.when(F.col("same").isNull(), F.col("draw")).otherwise(
+        unit_hash(F.lit("again"), F.col("draw"), F.col("place")))).drop("same", "place")
 
 
 def mix(docs: DataFrame, keep: float = 0.8, key: str = "doc_id", **options) -> DataFrame:
     """Per row: ``key, source, lang, topic, tokens, weight, probability, sampled``.
 
     ``weight``: the row's share of the target mixture. A null source or language is a value of its
-    own (''); a null or empty text has no tokens and is always sampled; repeated rows share one
-    decision (it hangs on the key); an empty table gives an empty one."""
+    own (''); a null or empty text has no tokens and is always sampled; rows of one key with
+    different texts, null keys too, draw apart, and so do repeated rows; an empty table gives an empty one."""
     cells, n = mixture(docs, keep, **options)
-    return with_probability(docs, cells, n, key).select(
+    return with_probability(docs, cells, n, key, options.get("text", "text")).select(
         F.col(f"row.{key}").alias(key), *MARGINS, F.col("tokens").cast("long").alias("tokens"), "weight",
         "probability", "sampled")
 
 
 def sampled(docs: DataFrame, keep: float = 0.8, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that the mixture samples, with all their columns."""
+    """The rows of ``docs`` that the mixture samples, with all their columns.
+
+    Nulls, empty texts, repeated rows and an empty table are treated as ``mix`` says; the rows travel as one
+    struct, so no column of theirs can clash with those added."""
     cells, n = mixture(docs, keep, **options)
-    return with_probability(docs, cells, n, key).where("sampled").select("row.*")
+    return with_probability(docs, cells, n, key, options.get("text", "text")).where("sampled").select("row.*")
