@@ -162,5 +162,12 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def hash_sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """At most ``most`` rows, by the hash of distinct values ``by``: few beyond that many leave any task."""
+    total = rows.count()
+    near = rows.where(unit_hash(*[F.col(c) for c in by]) < min(1.0, (1.1 * most + 100) / max(total, 1)))
+    return near.orderBy(F.xxhash64(*by), *by).limit(most) if total > most else rows
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

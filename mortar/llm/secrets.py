@@ -1,6 +1,7 @@
 """Secret scans whose false positives are removed by a random forest.
 
-*Candidates* are runs of 16 or more key-like characters with a digit (whole texts, one pass).
+*Candidates* (whole texts, one pass): values with a known key prefix; values assigned to a credential name,
+quoted ones whatever their length and marks; and runs of 16 or more key-like characters with a digit.
 *Findings for training* are labelled rows ``value, before, after, path, label``; ``format_labels``
 labels the clear cases of a corpus by format rules (known key prefixes and quoted assignments to
 a credential name; pure numbers, repeated patterns and placeholders), from a bounded sample.
@@ -22,11 +23,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mortar.llm.common import mix64, written
+from mortar.llm.common import hash_sample, mix64, saved, written
 
 MAX_FINDINGS = 5_000
 WORD_GROUPS, PATH_GROUPS = 24, 8
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 _WORD = re.compile(r"[^\W\d_]+|\S")
 
 # Common words and word parts, for dictionary coverage.
@@ -39,6 +39,13 @@ _DICTIONARY = re.compile("|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))
 # Beginnings of public credential formats; names that credentials are assigned to.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "sk_live_", "xoxb-", "xoxp-", "AIza")
 NAMES = ("token", "secret", "password", "passwd", "apikey", "api_key", "access_key", "auth")
+_NAMED = "|".join(NAMES)
+_RUN = r"[A-Za-z0-9+/_=\-]"
+#: A credential name, then a quoted value or a bare one of 6 or more characters; a known prefix and 8 more; a long run.
+ASSIGNED = re.compile(r"(?:%s)[\"']?\s{0,3}(?:=>|:=|[=:])\s{0,3}(?:\"([^\"\r\n]{4,512})\"|'([^'\r\n]{4,512})'|([^\s\"'<>,;]{6,512}))"
+                      % _NAMED, re.IGNORECASE)
+PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:%s)%s{8,}" % ("|".join(re.escape(p) for p in PREFIXES), _RUN))
+LONG_RUN = re.compile(_RUN + "{16,}")
 PLACEHOLDERS = ("example", "xxxx", "placeholder", "changeme", "your", "dummy", "sample")
 
 
@@ -87,12 +94,15 @@ def feature_row(value: str, before: str, after: str, path: str) -> list[float]:
 def format_label(value: str, before: str) -> float:
     """1 a credential, 0 none, NaN unclear."""
     low = value.lower()
-    if any(p in low for p in PLACEHOLDERS) or len(set(value)) <= 4 or not any(c.isdigit() for c in value):
+    if any(p in low for p in PLACEHOLDERS) or len(set(value)) <= 4:
         return 0.0
     if value.startswith(PREFIXES):
         return 1.0
-    if re.search(r"(?:%s)\W{0,3}[=:]\W{0,3}$" % "|".join(NAMES), before.lower()):
-        return 1.0 if entropy(value) > 2.5 else math.nan
+    if re.search(r"(?:%s)\W{0,3}[=:]\W{0,3}$" % _NAMED, before.lower()):
+        digits, letters = any(c.isdigit() for c in value), any(c.isalpha() for c in value)
+        return 1.0 if digits and letters and entropy(value) > 2.5 else math.nan
+    if not any(c.isdigit() for c in value):
+        return 0.0
     if value.isdigit() or entropy(value) < 2.5:
         return 0.0
     return math.nan
@@ -101,19 +111,32 @@ def format_label(value: str, before: str) -> float:
 SCHEMA = "start long, value string, before string, after string, path string, label double, x array<double>"
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """``(start, end)`` of every candidate: assigned values first, then prefixed ones and runs that meet none of them."""
+    found = []
+    for m in ASSIGNED.finditer(text):
+        found.append(m.span(next(g for g in (1, 2, 3) if m.group(g) is not None)))
+    for rule in (PREFIXED, LONG_RUN):
+        taken, k = sorted(found), 0
+        for m in rule.finditer(text):
+            while k < len(taken) and taken[k][1] <= m.start():
+                k += 1
+            clear = k == len(taken) or taken[k][0] >= m.end()
+            if clear and (rule is PREFIXED or any(c.isdigit() for c in m.group())):
+                found.append(m.span())
+    return sorted(found)
+
+
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """Every candidate of every text: ``k, start`` (code points)``, value, before, after, path, label, x``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, out = [], []
             for i, (t, p) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                for m in CANDIDATE.finditer(t or ""):
-                    value = m.group()
-                    if not any(c.isdigit() for c in value):
-                        continue
-                    before, after = t[max(0, m.start() - 40): m.start()], t[m.end(): m.end() + 20]
+                for start, end in spans(t or ""):
+                    value, before, after = t[start:end], t[max(0, start - 40): start], t[end: end + 20]
                     rows.append(i)
-                    out.append((m.start(), value, before, after, p or "", format_label(value, before),
+                    out.append((start, value, before, after, p or "", format_label(value, before),
                                 feature_row(value, before, after, p or "")))
             cols = list(zip(*out)) if out else [()] * 7
             kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.float64())]
@@ -126,9 +149,14 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
 
 def labelled(found: DataFrame, most: int = MAX_FINDINGS) -> DataFrame:
-    """A bounded sample of the clear findings, by hash of the value."""
+    """A bounded sample of the clear findings, by hash of the value: half for each label, so a rare one is not lost.
+
+    Of equal values with equal neighbours one is drawn; more than that many leave no task."""
     clear = found.where(~F.isnan("label") & F.col("label").isNotNull())
-    return clear.orderBy(F.xxhash64("value", "k", "start")).limit(most).select("x", "label")
+    one = clear.groupBy("label", F.xxhash64("value", "before", "after", "path").alias("h")).agg(F.min("x").alias("x"))
+    one = saved(one)
+    return hash_sample(one.where("label = 1"), most // 2, "h").unionByName(
+        hash_sample(one.where("label = 0"), most // 2, "h")).select("x", "label")
 
 
 def fit(findings: DataFrame, trees: int = 30, depth: int = 8, seed: int = 5) -> RandomForestClassificationModel | None:

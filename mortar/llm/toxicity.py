@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mortar.llm.common import (BYTE_TABLE, WORD_STEP, mix64, per_text_words, pieces, powers, saved, text_shingles,
-                               utf8_column, word_hashes, word_spans)
+from mortar.llm.common import (BYTE_TABLE, WORD_STEP, hash_sample, mix64, per_text_words, pieces, powers, saved,
+                               text_shingles, utf8_column, word_hashes, word_spans)
 
 MAX_LABELLED, MAX_FEATURES = 50_000, 65_536
 PRIOR, BACKING, CONFIDENCE, DRIFT = 2.0, 20.0, 1.64, 0.3
@@ -235,7 +235,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, max_labelled: int, key: s
     An id with several labels has their majority, ties count as toxic. Only texts of the chosen ids move."""
     usable = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col(key)))
     per = usable.groupBy(F.col(key).alias("k")).agg((F.avg(F.col("toxic").cast("double")) >= 0.5).cast("int").alias("y"))
-    few = per.orderBy(F.xxhash64("k"), "k").limit(max_labelled)  # bounded: at most max_labelled ids and labels
+    few = hash_sample(saved(per), max_labelled, "k")  # bounded: at most max_labelled ids and labels
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(few), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,13 +301,22 @@ def feature_counts(train: DataFrame) -> DataFrame:
 
 
 def best_features(counts: DataFrame, sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``limit`` features with the largest z-score over all training texts: hashes and counts (n x 4)."""
+    """At most ``limit`` features, those with the largest z-scores over all training texts: hashes and counts (n x 4).
+
+    The least z-score follows from counts per thousandth, so no task and no driver holds more than the result."""
     toxic, clean = F.col("c01") + F.col("c11"), F.col("c00") + F.col("c10")
     n_toxic, n_clean = float(sizes[1] + sizes[3]) + 1, float(sizes[0] + sizes[2]) + 1
     t = toxic + PRIOR * n_toxic / (n_toxic + n_clean)
     c = clean + PRIOR * n_clean / (n_toxic + n_clean)
     z = F.abs(F.log(t / n_toxic) - F.log(c / n_clean)) / F.sqrt(1 / t + 1 / c)
-    top = counts.orderBy(z.desc(), "feature").limit(limit).toPandas()  # bounded by the model's size
+    ranked = counts.withColumn("z", F.least(F.floor(z * 1000), F.lit(1_000_000)))
+    left, least = limit, 0
+    for r in ranked.groupBy("z").count().orderBy(F.desc("z")).collect():  # a row for each thousandth that occurs
+        if r["count"] > left:
+            least = r["z"] + 1
+            break
+        left -= r["count"]
+    top = ranked.where(F.col("z") >= least).toPandas()
     return top["feature"].to_numpy(np.int64).view(np.uint64), top[["c00", "c01", "c10", "c11"]].to_numpy(float)
 
 
