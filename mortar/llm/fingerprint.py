@@ -15,16 +15,19 @@ also in b; ``likeness`` is the smaller of the two containments.
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mortar.llm.common import BYTE_TABLE, mix64, powers, random_table
+from mortar.llm.common import BYTE_TABLE, mix64, powers, random_table, unit_hash
 
 LEAST, MEAN, MOST = 8, 24, 96
 HARD_BITS, EASY_BITS = 5, 3
@@ -126,19 +129,44 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - n] + after[:n]
 
 
+def line_place(rows: DataFrame) -> Column:
+    """A double that never falls as the key ``k`` rises; null for a null key.
+
+    Numbers count from the smallest, so large ones keep their differences; strings are read as the 6 bytes
+    after what the smallest and the largest share."""
+    kind = rows.schema["k"].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        ends = rows.agg(F.min(F.col("k").cast("binary")).alias("a"), F.max(F.col("k").cast("binary")).alias("z")).first()
+        shared = len(os.path.commonprefix([bytes(ends["a"] or b""), bytes(ends["z"] or b"")]))
+        tail = F.substring(F.col("k").cast("binary"), shared + 1, 6)
+        return F.conv(F.rpad(F.hex(tail), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.IntegralType):
+        least = rows.agg(F.min("k").alias("a")).first()["a"]
+        return (F.col("k").cast("decimal(20,0)") - F.lit(least or 0).cast("decimal(20,0)")).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.col("k").cast("timestamp").cast("double")
+    if isinstance(kind, T.BooleanType):
+        return F.col("k").cast("int").cast("double")
+    return F.col("k").cast("double")
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row with the text of the next row in descending ``(key, text)`` order, the last with the first's.
 
     Rows are cut into key ranges (a few times the shuffle partitions; only their bounds reach
-    the driver) and sorted within them. Each range also gets a copy of the next range's first
-    row, so every follower is found inside one range and the table is shuffled once."""
+    the driver) and sorted within them. A key that fills several ranges has a range of its own, which is cut
+    further by text hash, as rows of one key stand in the order of their text hashes. Each range also gets a
+    copy of the next range's first row, so every follower is found inside one range and the table is
+    shuffled once."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = F.coalesce(F.col("k").cast("double"), F.lit(float("-inf")))
-    bounds = sorted(set(rows.select(place.alias("k")).where(F.col("k") > float("-inf"))
-                        .approxQuantile("k", [i / n for i in range(1, n)], 0.25 / n)))
+    place = F.coalesce(line_place(rows), F.lit(float("-inf")))
+    points = rows.select(place.alias("p")).approxQuantile("p", [i / n for i in range(1, n)], 0.25 / n)
+    often = {p: points.count(p) for p in set(points) if points.count(p) > 1}
+    bounds = sorted({p for p in points if p > float("-inf")} | {math.nextafter(p, math.inf) for p in often})
     splits = [float("-inf"), *bounds, float("inf")]
+    tie = unit_hash(F.col("t")) if often else F.lit(0.0)
 
     def ranged(df: DataFrame) -> DataFrame:
         df = df.withColumn("p", place)
@@ -147,17 +175,32 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         return Bucketizer(splits=splits, inputCol="p", outputCol="q").transform(df).withColumn(
             "r", F.col("q").cast("int")).drop("p", "q")
 
-    tops = sorted(ranged(rows.select("k")).groupBy("r").agg(F.max("k").alias("k")).collect(), key=lambda x: -x["r"])
+    slim = ranged(rows.select("k", tie.alias("h")) if often else rows.select("k", F.lit(0.0).alias("h")))
+    ends = slim.groupBy("r").agg(F.min("k").alias("a"), F.max("k").alias("z"), F.count("k").alias("some"),
+                                 F.count(F.lit(1)).alias("n")).collect()
+    cuts = {r["r"]: max(1, r["n"] * n // max(1, sum(x["n"] for x in ends))) for r in ends
+            if r["some"] in (0, r["n"]) and r["a"] == r["z"]}  # ranges that hold one key only
+    parts = F.create_map(*[F.lit(x) for r, c in cuts.items() if c > 1 for x in (r, c)]) if any(
+        c > 1 for c in cuts.values()) else None
+
+    def cut(df: DataFrame) -> DataFrame:
+        return df.withColumn("s", F.lit(0) if parts is None else F.floor(
+            F.col("h") * F.coalesce(parts[F.col("r")], F.lit(1))).cast("int"))
+
+    tops = cut(slim).groupBy("r", "s").agg(F.max(F.struct(F.col("k"), F.col("h"))).alias("top")).collect()
     if not tops:
         return rows.select("k", "t", F.col("t").alias("u"))
-    heads = [(a["r"], b["k"]) for a, b in zip(tops, tops[1:] + tops[:1], strict=True)]
+    tops = sorted(tops, key=lambda x: (-x["r"], -x["s"]))
+    heads = [(a["r"], a["s"], b["top"]["k"], b["top"]["h"]) for a, b in zip(tops, tops[1:] + tops[:1], strict=True)]
     kind = docs.schema[key].dataType.simpleString()
-    wanted = spark.createDataFrame(heads, f"r int, k {kind}")
-    first = rows.join(F.broadcast(wanted), rows["k"].eqNullSafe(wanted["k"]))  # one row a range
-    first = first.groupBy("r").agg(F.max("t").alias("t"))
-    both = ranged(rows).select("r", "k", "t", F.lit(False).alias("guest")).unionByName(
-        first.select("r", F.lit(None).cast(kind).alias("k"), "t", F.lit(True).alias("guest")))
-    order = Window.partitionBy("r").orderBy(F.col("guest").asc(), F.col("k").desc(), F.col("t").desc())
+    wanted = spark.createDataFrame(heads, f"r int, s int, k {kind}, h double")
+    with_tie = rows.withColumn("h", tie)
+    first = with_tie.join(F.broadcast(wanted), with_tie["k"].eqNullSafe(wanted["k"]) & (with_tie["h"] == wanted["h"]))
+    first = first.groupBy("r", "s").agg(F.max("t").alias("t"))  # one row a range
+    both = cut(ranged(with_tie)).select("r", "s", "k", "h", "t", F.lit(False).alias("guest")).unionByName(
+        first.select("r", "s", F.lit(None).cast(kind).alias("k"), F.lit(0.0).alias("h"), "t", F.lit(True).alias("guest")))
+    order = Window.partitionBy("r", "s").orderBy(F.col("guest").asc(), F.col("k").desc(), F.col("h").desc(),
+                                                 F.col("t").desc())
     return both.withColumn("u", F.lead("t").over(order)).where(~F.col("guest")).select("k", "t", "u")
 
 
@@ -165,8 +208,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """Fingerprints of every text and of its edited text, with their likeness.
 
     Columns: ``key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, contained_next``. A null text counts as empty; repeated rows each have a row (ties
-    of a key are ordered by text); a null key sorts last; one row alone is its own next; other
+    near_next, contained_next``. A null text counts as empty; repeated rows each have a row (rows
+    of one key stand in a fixed order of their texts); a null key sorts last; one row alone is its own next; other
     columns are not read; an empty table gives an empty one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
