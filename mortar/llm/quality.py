@@ -3,18 +3,20 @@
 *Views.* The text view sees content only: the mix of characters, word shapes and repetition. The
 metadata view sees what a crawler records: language, source, length and line layout.
 
-*Co-training.* Both views are fitted on labelled rows. In each round each view scores a pool of
-unlabelled rows, and those of which it is surest (above ``sure`` by its calibrated probability,
-in the classes' proportion) join the *other* view's training rows as pseudo-labels. A view
+*Co-training.* Both views are fitted on labelled rows. In each round each view scores all unlabelled
+rows, and those of which it is surest (above ``sure`` by its calibrated probability, in the classes'
+proportion, more of them from round to round) join the *other* view's training rows as pseudo-labels. A view
 that is never sure teaches nothing. Then each view is calibrated (Platt) on labelled rows kept
 apart, and a logistic combination of the two calibrated scores is fitted there.
 
-Fitting uses bounded samples, ``max_labelled`` labelled and about ``max_pool`` unlabelled rows, drawn
-by hash over the whole table; scoring covers every row in one pass without a shuffle.
+Both views of every distinct row are written once and scanned in every round. What is fitted on is bounded:
+rows of ``max_labelled`` labelled keys, drawn by hash, and ``max_pool`` pseudo-labels.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mortar.llm.common import mix64, pieces, unit_hash, utf8_column, word_hashes, word_spans
+from mortar.llm.common import hash_sample, mix64, pieces, saved, utf8_column, word_hashes, word_spans, written
 
 MAX_LABELLED, MAX_POOL = 4_000, 4_000
 ROUNDS = 3
 SURE = 0.95
+BINS, BIN = 600, 0.05  # confidences (calibrated log-odds) are counted in steps
 GROUPS = 16  # hash groups of language and of source
 
 #: Bytes counted one by one: printable ASCII and the line feed; the rest are control and non-ASCII bytes.
@@ -126,12 +129,18 @@ def platt(scores: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, fl
     """``a, b`` with ``P(good) = sigmoid(a * score + b)`` (smoothed targets, so both stay finite)."""
     pos, neg = y.sum(), (1 - y).sum()
     goal = np.where(y > 0.5, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    beta = np.array([1.0, 0.0])
     z = np.column_stack((scores, np.ones(len(scores))))
+    beta = np.array([0.0, np.log((pos + 1) / (neg + 1))])
+    loss = lambda b: float((np.logaddexp(0, z @ b) - goal * (z @ b)).sum())
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        p = sigmoid(z @ beta)
         h = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + 1e-6 * np.eye(2)
-        beta = beta + np.linalg.solve(h, z.T @ (goal - p))
+        step = np.linalg.solve(h, z.T @ (goal - p))
+        while np.abs(step).max() > 1e-9 and loss(beta + step) > loss(beta):
+            step = step / 2  # Newton's step overshoots where classes are almost apart
+        beta = beta + step
+        if np.abs(step).max() < 1e-9:
+            break
     return float(max(beta[0], 0.0)), float(beta[1])
 
 
@@ -148,36 +157,20 @@ class CoTrained:
     mixture: np.ndarray
 
     @classmethod
-    def fit(cls, views_: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray],
-            rounds: int = ROUNDS, sure: float = SURE, share: float = 0.2) -> CoTrained:
-        """``share`` of a round's pool at most becomes pseudo-labels; a third of the labelled rows calibrates."""
+    def fit(cls, views_: tuple[np.ndarray, np.ndarray], y: np.ndarray, lessons, rounds: int = ROUNDS) -> CoTrained:
+        """A third of the labelled rows calibrates. ``lessons(models, calibrations, round)`` gives, for each view,
+        the rows (its own features) and labels that the other view is surest of among all unlabelled rows."""
         held = np.arange(len(y)) % 3 == 0
-        train = [(v[~held], y[~held]) for v in views_]
-        left = np.ones(len(pool[0]), dtype=bool)
-        models = tuple(Logistic.fit(*t) for t in train)
-        for _ in range(rounds):
-            lessons = []
-            for k in (0, 1):
-                cal = platt(models[k].logit(views_[k][held]), y[held])
-                p = sigmoid(cal[0] * models[k].logit(pool[k]) + cal[1])
-                quota = int(share * left.sum())
-                picks = []
-                for good, part in ((True, y.mean()), (False, 1 - y.mean())):
-                    rank = np.where(left, p if good else 1 - p, -1.0)
-                    best = np.argsort(-rank, kind="stable")[: int(quota * part)]
-                    picks += [(i, float(good)) for i in best if rank[i] >= sure]
-                lessons.append(picks)
-            if not any(lessons):
+        base = [(v[~held], y[~held]) for v in views_]
+        models = tuple(Logistic.fit(*t) for t in base)
+        calibrated = lambda: tuple(platt(m.logit(v[held]), y[held]) for m, v in zip(models, views_))
+        for r in range(1, rounds + 1):
+            taught = lessons(models, calibrated(), r)
+            if not any(len(t[1]) for t in taught):
                 break
-            for k in (0, 1):
-                if lessons[1 - k]:
-                    rows = [i for i, _ in lessons[1 - k]]
-                    train[k] = (np.vstack((train[k][0], pool[k][rows])),
-                                np.concatenate((train[k][1], [g for _, g in lessons[1 - k]])))
-            for picks in lessons:
-                left[[i for i, _ in picks]] = False
-            models = tuple(Logistic.fit(*t) for t in train)
-        cals = tuple(platt(models[k].logit(views_[k][held]), y[held]) for k in (0, 1))
+            models = tuple(Logistic.fit(np.vstack((x, tx)), np.concatenate((t, ty)))
+                           for (x, t), (tx, ty) in zip(base, taught))
+        cals = calibrated()
         scores = np.column_stack([c[0] * m.logit(v[held]) + c[1] for c, m, v in zip(cals, models, views_)])
         z = np.column_stack((np.ones(len(scores)), np.clip(scores, -12, 12)))
         beta = np.array([0.0, 0.5, 0.5])
@@ -199,44 +192,108 @@ def inputs(docs: DataFrame, text: str) -> list:
             F.col("source").cast("string").alias("source")]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int, key: str,
-                  text: str) -> tuple[tuple, np.ndarray, tuple]:
-    """The bounded samples on the driver: views of labelled rows, their labels, views of the pool."""
-    per = labels.where(f"{key} is not null and quality is not null").groupBy(key).agg(
+def view_rows(docs: DataFrame, labels: DataFrame, max_labelled: int, key: str, text: str) -> DataFrame:
+    """Both views of every row, once for each distinct content: ``k, y`` (null: unlabelled), ``a, m`` (float32 bytes).
+
+    The labelled rows are those of at most ``max_labelled`` keys, by hash; a key with several labels has their
+    majority. Copies of an unlabelled page, however many, are one row."""
+    per = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("k")).agg(
         (F.avg(F.col("quality").cast("double")) >= 0.5).cast("double").alias("y"))
-    few = per.orderBy(F.xxhash64(key), key).limit(max_labelled)  # a top-k by hash: bounded
-    few = few.select(F.col(key).alias("k"), "y")
-    total = docs.count()
+    few = hash_sample(saved(per), max_labelled, "k")
     rows = docs.select(F.col(key).alias("k"), *inputs(docs, text)).join(F.broadcast(few), "k", "left")
-    rows = rows.where(F.col("y").isNotNull() | (unit_hash(F.lit("pool"), F.col("k")) < max_pool / max(total, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, m = (v.astype(np.float32) for v in views(b.select(["text", "lang", "source"])))
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float32()))
-                     for v in (a, m)]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), *lists], ["k", "y", "a", "m"])
+            packed = [pa.array([r.tobytes() for r in v.astype(np.float32)], pa.binary())
+                      for v in views(b.select(["text", "lang", "source"]))]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), *packed], ["k", "y", "a", "m"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = rows.select("k", "y", "text", "lang", "source").mapInArrow(
-        run, f"k {kind}, y double, a array<float>, m array<float>")
-    pdf = found.limit(4 * (max_labelled + max_pool)).toPandas().sort_values("k", kind="stable")
-    mat = lambda c, n: np.array(c.tolist(), float).reshape(len(c), n)
-    known, pool = pdf[pdf.y.notna()], pdf[pdf.y.isna()]
-    order = np.argsort(mix64(np.arange(len(known), dtype=np.uint64)), kind="stable")
-    known = known.iloc[order]
-    return ((mat(known.a, N_TEXT), mat(known.m, N_META)), known.y.to_numpy(float),
-            (mat(pool.a, N_TEXT), mat(pool.m, N_META)))
+    out = rows.select("k", "y", "text", "lang", "source").mapInArrow(run, f"k {kind}, y double, a binary, m binary")
+    known = F.when(F.col("y").isNotNull(), F.col("k"))
+    return written(out.select(known.alias("k"), "y", "a", "m").distinct(), "views")
+
+
+def unpacked(column, width: int) -> np.ndarray:
+    return np.array([np.frombuffer(v, np.float32) for v in column], float).reshape(len(column), width)
+
+
+def surest(pages: DataFrame, models: tuple, calibrations: tuple, quota: tuple[int, int], sure: float) -> list:
+    """For each view, the rows that the other view is surest of: ``(features, labels)``, at most ``quota`` (bad, good).
+
+    All unlabelled pages are scored twice: counts by teacher, class and confidence give the least confidence
+    that fits the quota; then only the rows above it leave their tasks."""
+    from_bin = math.log(sure / (1 - sure))
+
+    def rated(batch: pa.RecordBatch) -> tuple[list, list]:
+        own = [unpacked(batch.column(c).to_pylist(), w) for c, w in (("a", N_TEXT), ("m", N_META))]
+        z = [c[0] * m.logit(v) + c[1] for c, m, v in zip(calibrations, models, own)]
+        return z, [np.minimum(np.floor((np.abs(x) - from_bin) / BIN), BINS - 1).astype(int) for x in z]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2, BINS), np.int64)
+        for b in batches:
+            for k, (z, at) in enumerate(zip(*rated(b))):
+                for good in (0, 1):
+                    total[k, good] += np.bincount(at[(at >= 0) & ((z > 0) == good)], minlength=BINS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["cell", "n"])
+
+    free = pages.where("y is null").select("a", "m")
+    counts = np.zeros(4 * BINS, np.int64)
+    for r in free.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        counts[r["cell"]] = r["n"]
+    counts = counts.reshape(2, 2, BINS)
+    down = np.cumsum(counts[:, :, ::-1], axis=2)[:, :, ::-1]  # rows at least that sure
+    least = np.array([[np.argmax(np.append(down[k, g] <= quota[g], True)) for g in (0, 1)] for k in (0, 1)])
+    # the class's bin just below the quota gives the share of its rows (by hash) that still fits
+    share = np.zeros((2, 2))
+    for k in (0, 1):
+        for g in (0, 1):
+            at = least[k, g] - 1
+            if at >= 0 and counts[k, g, at]:
+                above = down[k, g, least[k, g]] if least[k, g] < BINS else 0
+                share[k, g] = (quota[g] - above) / counts[k, g, at]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            draw = np.array([zlib.crc32(v) for v in b.column("a").to_pylist()], float) / 2 ** 32
+            for k, (z, at) in enumerate(zip(*rated(b))):
+                g = (z > 0).astype(int)
+                mask = (at >= 0) & ((at >= least[k][g]) | ((at == least[k][g] - 1) & (draw < share[k][g])))
+                if mask.any():
+                    rows = pa.array(np.flatnonzero(mask))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(rows), 1 - k)), pa.array(g[mask].astype(float)),
+                         b.column("m" if k == 0 else "a").take(rows)], ["pupil", "y", "x"])
+
+    found = free.mapInArrow(pick, "pupil long, y double, x binary").toPandas()  # about the quota, for each view and class
+    found = found.sort_values(["pupil", "y", "x"], kind="stable")
+    return [(unpacked(part.x.tolist(), width), part.y.to_numpy(float))
+            for part, width in ((found[found.pupil == v], w) for v, w in ((0, N_TEXT), (1, N_META)))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL,
-        rounds: int = ROUNDS, key: str = "doc_id", text: str = "text") -> CoTrained | None:
-    """The classifier, or None when the labels hold fewer than three rows of a class."""
-    known, y, pool = training_rows(docs, labels, max_labelled, max_pool, key, text)
+        rounds: int = ROUNDS, key: str = "doc_id", text: str = "text", sure: float = SURE) -> CoTrained | None:
+    """The classifier, or None when the labels hold fewer than three rows of a class.
+
+    ``max_labelled``: labelled keys that are fitted on, one row each (of rows of one key the least by content).
+    ``max_pool``: pseudo-labels that a view teaches the other in the last round, of all unlabelled rows."""
+    pages = view_rows(docs, labels, max_labelled, key, text)
+    one = pages.where("y is not null").groupBy("k").agg(F.min(F.struct("a", "m")).alias("x"), F.min("y").alias("y"))
+    known = one.select("k", "x.a", "x.m", "y").toPandas()  # at most max_labelled rows
+    known = known.iloc[np.argsort([zlib.crc32(str(k).encode()) for k in known.k], kind="stable")]
+    y = known.y.to_numpy(float)
     held = np.arange(len(y)) % 3 == 0
-    if min((y[m] > 0.5).sum() for m in (held, ~held)) < 1 or min((y[m] < 0.5).sum() for m in (held, ~held)) < 1:
+    if len(y) == 0 or min((y[m] > 0.5).sum() for m in (held, ~held)) < 1 or min((y[m] < 0.5).sum() for m in (held, ~held)) < 1:
         return None
-    return CoTrained.fit(known, y, pool, rounds)
+
+    def lessons(models: tuple, calibrations: tuple, r: int) -> list:
+        size = max_pool * r // rounds
+        good = int(size * y.mean())
+        return surest(pages, models, calibrations, (size - good, good), sure)
+
+    return CoTrained.fit((unpacked(known.a.tolist(), N_TEXT), unpacked(known.m.tolist(), N_META)), y, lessons, rounds)
 
 
 def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5, key: str = "doc_id",
@@ -264,7 +321,10 @@ def probabilities(model: CoTrained | None, batch: pa.RecordBatch) -> tuple[np.nd
 
 
 def kept(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows that the classifier keeps, with all their columns (one pass, no shuffle)."""
+    """The rows that the classifier keeps, with all their columns (one pass, no shuffle).
+
+    Nulls count as empty texts and values; each repeated row is judged by itself; no column is added, so none
+    clashes; an empty table gives an empty one; without a model every row is kept."""
     at = [docs.columns.index(c) for c in (text, "lang", "source")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
