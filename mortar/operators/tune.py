@@ -242,3 +242,139 @@ def tune_fits(spark: SparkSession, model: str, features: DataFrame, folds: DataF
         return float(np.mean(scores)) if scores else float("nan")
 
     return trial_log(spark, model, n_trials, trial_params(trial_table(spark, model, n_trials, seed)), run, time_limit)
+
+
+# ----------------------------------------------------------------------------- model-based proposals
+GOOD_SHARE, CANDIDATES, STARTUP, BATCH = 0.15, 4, 10, 10
+
+
+def _scaled(spec: tuple, value) -> float:
+    """A parameter's value on [0, 1] (choices: their number)."""
+    kind, low = spec[1], spec[2]
+    if kind == "cat":
+        return float(low.index(value) if isinstance(value, str) else int(value))
+    high = spec[3]
+    if kind.startswith("log"):
+        return (math.log(float(value)) - math.log(low)) / (math.log(high) - math.log(low))
+    return (float(value) - low) / (high - low)
+
+
+def _unscaled(spec: tuple, u: float):
+    kind, low = spec[1], spec[2]
+    if kind == "cat":
+        return low[int(u)]
+    high = spec[3]
+    v = math.exp(math.log(low) + u * (math.log(high) - math.log(low))) if kind.startswith("log") else low + u * (high - low)
+    return float(min(high, max(low, round(v)))) if kind.endswith("int") else float(min(high, max(low, v)))
+
+
+class _Density:
+    """Mixture of normals around the points on [0, 1] and a flat part; for choices, smoothed shares."""
+
+    def __init__(self, points: list[float], n_choices: int | None):
+        self.n_choices, self.points = n_choices, np.sort(np.array(points, float))
+        if n_choices is None:
+            gaps = np.diff(np.concatenate(([0.0], self.points, [1.0])))
+            least = 1.0 / min(100, 1 + 2 * max(len(points), 1))
+            self.widths = np.clip(np.maximum(gaps[:-1], gaps[1:]), least, 1.0)
+            inside = [math.erf((1 - p) / w / math.sqrt(2)) + math.erf(p / w / math.sqrt(2))
+                      for p, w in zip(self.points, self.widths)]
+            self.masses = np.array(inside) / 2
+        else:
+            counts = np.bincount(self.points.astype(int), minlength=n_choices) + 1.0
+            self.shares = counts / counts.sum()
+
+    def draw(self, rng) -> float:
+        if self.n_choices is not None:
+            return float(rng.choice(self.n_choices, p=self.shares))
+        k = rng.integers(len(self.points) + 1)
+        if k == len(self.points):
+            return float(rng.random())
+        while True:  # the bump cut off at the space's ends
+            u = rng.normal(self.points[k], self.widths[k])
+            if 0.0 <= u <= 1.0:
+                return float(u)
+
+    def log(self, u: float) -> float:
+        if self.n_choices is not None:
+            return math.log(self.shares[int(u)])
+        bumps = np.exp(-0.5 * ((u - self.points) / self.widths) ** 2) / self.widths / self.masses / math.sqrt(2 * math.pi)
+        return math.log((1.0 + bumps.sum()) / (len(self.points) + 1))
+
+
+def _specs(space: list[tuple], n_layers: int | None) -> list[tuple]:
+    """The parameters of a trial; ``name{i}`` exists for each layer of the trial."""
+    return [(spec[0].format(i=i), *spec[1:]) for spec in space
+            for i in (range(n_layers or 0) if "{i}" in spec[0] else (0,))]
+
+
+def propose(space: list[tuple], history: list[tuple[dict, float | None]], n: int, seed: int) -> list[dict]:
+    """The next ``n`` trials after ``history`` (parameters, value): the density-ratio rule (Bergstra 2011).
+
+    The best ``GOOD_SHARE`` of the trials gives the density of good values of each parameter, the rest
+    (failed and late ones too) that of bad ones; of ``CANDIDATES`` drawn from the good density (few, or the search locks in early) the one with the
+    largest ratio is proposed. A conditional parameter's densities come from the trials that have it."""
+    done = [(p, -math.inf if v is None else v) for p, v in history]
+    order = sorted(range(len(done)), key=lambda k: (-done[k][1], k))
+    good = set(order[: max(1, math.ceil(GOOD_SHARE * len(done)))])
+    out = []
+    for j in range(n):
+        rng = np.random.default_rng([seed, len(history), j])
+        trial: dict = {}
+        for spec in space:
+            layers = int(float(trial["n_layers"])) if "n_layers" in trial else 0
+            for name, *rest in _specs([spec], layers):
+                own = (name, *rest)
+                sides = [[_scaled(own, p[name]) for k, (p, _) in enumerate(done) if name in p and (k in good) == side]
+                         for side in (True, False)]
+                size = len(own[2]) if own[1] == "cat" else None
+                yes, no = (_Density(points, size) for points in sides)
+                draws = [yes.draw(rng) for _ in range(CANDIDATES)]
+                trial[name] = _unscaled(own, max(draws, key=lambda u: yes.log(u) - no.log(u)))
+        out.append(trial)
+    return out
+
+
+def search(spark: SparkSession, study: str, space: list[tuple], run: Callable[[dict], float], n_trials: int, seed: int = 0,
+           time_limit: float = 30.0, startup: int = STARTUP, batch: int = BATCH) -> DataFrame:
+    """The trial log of hash draws (the first ``startup``) and then of proposals, ``batch`` at a time."""
+    first = trial_params(trial_table(spark, study, min(startup, n_trials), seed)) if study in SPACES else {}
+    trials = [first.get(t, {}) for t in range(min(startup, n_trials))]
+    if study not in SPACES:
+        trials = propose(space, [], min(startup, n_trials), seed)
+    rows: list[tuple] = []
+    history: list[tuple[dict, float | None]] = []
+    while trials:
+        for p in trials:
+            value, state, seconds = limited(spark, f"{study} trial {len(rows)}", lambda p=p: run(p), time_limit)
+            rows.append((study, len(rows), {k: str(x) for k, x in p.items()}, value, state, seconds))
+            history.append((p, value))
+        left = n_trials - len(rows)
+        trials = propose(space, history, min(batch, left), seed) if left > 0 else []
+    return spark.createDataFrame(rows, LOG_SCHEMA)
+
+
+def mean_r2(predictions: DataFrame, split: str, folds: DataFrame | None = None, min_train: int = 5, min_held: int = 2) -> float:
+    """Mean R^2 over the folds of a prediction table; folds below the guard's sizes do not count."""
+    per = predictions.groupBy("regime", "repeat", "fold").agg(
+        F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == split).alias("n"),
+        F.sum(F.when(F.col("split") == split, (F.col("actual") - F.col("predicted")) ** 2)).alias("sse"),
+        F.var_pop(F.when(F.col("split") == split, F.col("actual"))).alias("v")).collect()  # one row for each fold
+    scores = [1.0 - r["sse"] / (r["v"] * r["n"]) if r["v"] > 0 else float(r["sse"] == 0)
+              for r in per if r["n_train"] >= min_train and r["n"] >= min_held]
+    return float(np.mean(scores)) if scores else float("nan")
+
+
+def tune_model(spark: SparkSession, name: str, features: DataFrame, folds: DataFrame, cols: list[str], label: str,
+               n_trials: int = 100, seed: int = 0, score_split: str = "val", time_limit: float = 30.0,
+               grams: dict | None = None, fit_on: str = "train", startup: int = STARTUP, batch: int = BATCH) -> DataFrame:
+    """I6/I7 for any registered model: proposals, each scored by its mean R^2 on ``score_split`` of the folds.
+
+    Gram models are scored on shared ``grams`` if those are given, without a pass over the rows."""
+    from mortar.operators import models
+    m = models.model(name)
+    if name in GRAM_MODELS and grams is not None:
+        run = lambda p: objective(grams, GRAM_MODELS[name], _solver_params(name, p), score_split, fit_on)
+    else:
+        run = lambda p: mean_r2(models.cv(name, features, folds, cols, label, "", p), score_split)
+    return search(spark, name, list(m.space), run, n_trials, seed, time_limit, startup, batch)
