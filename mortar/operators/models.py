@@ -110,7 +110,7 @@ def _mllib(name: str) -> Predictor:
         p = clean(params)
         if isinstance(p.get("max_features"), float):
             p["max_features"] = repr(p["max_features"])
-        return TR.cv_predictions(features, folds, cols, label, name, feature_set, p)
+        return TR.cv_predictions(features, folds, cols, label, name, feature_set, p, parallelism=8)
     return run
 
 

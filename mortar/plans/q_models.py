@@ -57,52 +57,6 @@ def cv_stack(spark, sf):
     return r6(M.fold_summary(M.metrics_all(a.unionByName(b))))
 
 
-# The bases of the study's mixed stacks; trees per base are kept small (README, open points).
-STACK_4 = [("SVR_RBF", {"C": 10.0, "gamma": 0.1, "epsilon": 0.1}), ("ExtraTrees", {"n_estimators": 20, "max_depth": 8}),
-           ("XGBoost", {"n_estimators": 10, "max_depth": 4}), ("HistGradientBoosting", {"max_iter": 10, "max_depth": 4})]
-STACK_BOOST = [("Gradient Boosting", {"n_estimators": 10, "max_depth": 3}), ("LightGBM", {"n_estimators": 10, "num_leaves": 16}),
-               ("CatBoost", {"iterations": 10, "depth": 4}), ("XGBoost", {"n_estimators": 10, "max_depth": 4}),
-               ("ExtraTrees", {"n_estimators": 20, "max_depth": 8})]
-STACK_WIDE = [*STACK_BOOST, ("HistGradientBoosting", {"max_iter": 10, "max_depth": 4}), STACK_4[0],
-              ("GaussianProcess", {"length_scale": 3.0, "noise_level": 0.1})]
-
-
-def _mixed(spark, sf, bases, meta, name, regime, least=None):
-    base = mix_valid(spark, sf)
-    feats = materialize(fx.engineer(base, "engineered", TARGET))
-    if regime == "group":
-        grouped = materialize(G.assign_groups(base))
-        folds = materialize(S.fold_table(base, "group", grouped=grouped))
-        oof = materialize(S.oof_folds_group(folds, grouped, 5, 2))
-    else:
-        folds = materialize(S.fold_table(base, "random", 5, 1, 0))
-        oof = materialize(S.oof_folds_random(folds, 5, 0))
-    return ST.mixed_stack(feats, folds, oof, fx.ENGINEERED_12, TARGET, bases, meta, name, "engineered_12", 5, least)
-
-
-def _mixed_summary(spark, sf, bases, meta, name, least=None):
-    both = [_mixed(spark, sf, bases, meta, name, regime, least)[0] for regime in ("random", "group")]
-    return r6(M.fold_summary(M.metrics_all(both[0].unionByName(both[1]))))
-
-
-@query("stack_mixed", check="NP")
-def stack_mixed(spark, sf):
-    """SVR, extremely randomised trees and two boosters under a Ridge(1) meta model, both regimes."""
-    return _mixed_summary(spark, sf, STACK_4, META_RIDGE, "Stacked Ensemble")
-
-
-@query("stack_boost", check="NP")
-def stack_boost(spark, sf):
-    """Four boosters and extremely randomised trees, both regimes."""
-    return _mixed_summary(spark, sf, STACK_BOOST, META_RIDGE, "BoostStack")
-
-
-@query("stack_wide", check="NP")
-def stack_wide(spark, sf):
-    """Eight bases, of which six must fit, both regimes."""
-    return _mixed_summary(spark, sf, STACK_WIDE, META_RIDGE, "WideStack", 6)
-
-
 @query("vif", check="NP")
 def vif(spark, sf):
     """F7 on the 21-column 'both' set (collinear by construction -> infinite VIFs)."""

@@ -193,10 +193,10 @@ def split_oof(spark, sf):
     " min(CAST(split = 'test' AS INTEGER)) AS all_test FROM allf JOIN grp USING (row_id) "
     " GROUP BY regime, repeat, fold, group_id) GROUP BY regime, repeat, fold",
     **{**KF_CTES, **Q.inner_random_sql(), **GKF_CTES, **Q.inner_group_sql(),
-       "allf": "SELECT * FROM folds WHERE repeat = 0 UNION ALL SELECT * FROM gfolds"})))
+       "allf": "SELECT * FROM folds UNION ALL SELECT * FROM gfolds"})))
 def leakage_audit(spark, sf):
     base = mix_valid(spark, sf)
     grouped = G.assign_groups(base)
-    rnd = S.fold_table(base, "random", 5, 1, 0)
+    rnd = S.fold_table(base, "random", 5, 5, 0)
     grp = S.fold_table(base, "group", grouped=grouped)
     return S.leakage_audit(rnd.unionByName(grp), grouped)

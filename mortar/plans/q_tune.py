@@ -103,6 +103,17 @@ def tune_random(spark, sf):
     return _tune_many(spark, sf, [("PLS", 8), ("BayesianRidge", 20)], "random")
 
 
+@query("tune_proposed", check="INV")
+def tune_proposed(spark, sf):
+    """I6 with density-ratio proposals: 100 trials of each Gram model on the same fold moments."""
+    base = mix_valid(spark, sf)
+    feats = fx.engineer(base, "engineered", TARGET)
+    folds = materialize(S.fold_table(base, "group", grouped=materialize(G.assign_groups(base))))
+    grams = TU.fold_grams(feats, folds, fx.ENGINEERED_12, TARGET)
+    return L.union_scores(*[TU.tune_model(spark, m, feats, folds, fx.ENGINEERED_12, TARGET, 100, grams=grams)
+                            for m in ("Ridge", "Lasso", "ElasticNet", "PLS")])
+
+
 def _tune_trees(spark, sf, models, n_trials, time_limit):
     base = mix_valid(spark, sf)
     folds = materialize(S.fold_table(base, "group", grouped=materialize(G.assign_groups(base))))
