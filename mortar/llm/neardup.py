@@ -11,18 +11,22 @@ never expanded into all pairs: its members meet one hub, the member that meets m
 Verified stars are joined into components, and buckets whose members lie in one component are
 done. Members of the others are compared across components only, by an exact prefix filter
 on their shingle sets (``prefix_pairs``), so no link between members of a bucket is lost.
+Shingles that stand in the same sets are one weighted token there, and sets of few heavy tokens
+meet on subsets of them: corpora made of shared paragraphs give few candidates.
 
-*Links.* Each candidate pair is confirmed on the full shingle sets of the whole texts:
-``100 * intersection >= 75 * union``.
+*Links.* Each candidate pair is confirmed on the full shingle sets of the whole texts (as shingles or
+as all tokens that two sets can share): ``100 * intersection >= 75 * union``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mortar.llm.common import (SHINGLE_STEP, WORD_STEP, mix64, per_text_words, powers, random_table, saved,
@@ -31,6 +35,9 @@ from mortar.llm.common import (SHINGLE_STEP, WORD_STEP, mix64, per_text_words, p
 PERMUTATIONS, ROWS = 60, 4
 PERCENT = 75
 CHUNK = 8192
+LEVELS = (1, 2, 4, 6)  # tokens that a key of the exact pass joins
+SUBSETS = 128  # keys of a set for each level beyond the first; a set of more keeps to lower levels
+KEY_ROWS = 1 << 16  # rows of an output batch, about
 MULTIPLY = random_table(PERMUTATIONS, 11) | np.uint64(1)
 SHIFT = random_table(PERMUTATIONS, 12)
 
@@ -157,33 +164,123 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
         "rep", "n", F.explode("s").alias("s"))
 
 
-def prefix_pairs(texts: DataFrame, placed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs ``a, b`` of different components that may be similar, by an exact prefix filter.
-
-    Shingles are ordered from rare to common. Two sets with enough in common share one among the
-    first few of either (the shorter set needs fewer), and from its place on there must be
-    enough left. Edited copies of one text that aren't alike enough differ in their rare
-    shingles first, so they are not paired, however many they are."""
-    rows = shingle_rows(texts.join(placed.select(F.col("rep").alias("id")), "id", "left_semi"))
-    rows = written(rows, "shingles")
-    counts = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("rep").orderBy("df", "s")
-    ranked = rows.join(counts, "s").withColumn("at", F.row_number().over(order) - 1)
-    part = lambda top, bottom, n: F.ceil(F.lit(top) * n / F.lit(bottom) - 1e-9)
-    ranked = ranked.where((F.col("at") <= F.col("n") - part(percent, 100, F.col("n"))) & (F.col("df") > 1))
-    ranked = written(ranked.join(placed, "rep").select("s", "rep", "n", "at", "component"), "prefixes")
-    x = ranked.where(F.col("at") <= F.col("n") - part(2 * percent, 100 + percent, F.col("n"))).select(
-        "s", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"), F.col("component").alias("cx"))
-    y = ranked.select("s", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("at").alias("py"),
-                      F.col("component").alias("cy"))
-    left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    fits = ((F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+def token_lists(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """``rep, component, n, tokens``: each set as weighted tokens ``df, t, w`` that other sets hold too.
+
+    Shingles that stand in exactly the same sets (a shared paragraph, say) are one token whose weight
+    is their number, the same in every set that holds it. Shingles of one set only are left out."""
+    rows = written(shingle_rows(texts.join(placed.select(F.col("rep").alias("id")), "id", "left_semi")), "shingles")
+    held = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("rep")).alias("t")).where("df > 1")
+    tokens = rows.join(held, "s").repartition("rep").groupBy("rep", "df", "t").agg(
+        F.count(F.lit(1)).alias("w"), F.max("n").alias("n"))
+    lists = tokens.groupBy("rep").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("t", "df", "w"))).alias("tokens"))
+    return lists.join(placed, "rep")
+
+
+def token_columns(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row offsets, tokens, frequencies and weights of a column of token lists."""
+    flat = column.flatten()
+    part = [x.to_numpy(zero_copy_only=False) for x in flat.flatten()]
+    lens = column.value_lengths().to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.cumsum(lens))).astype(np.int64), *part
+
+
+def subset_keys(t: np.ndarray, df: np.ndarray, w: np.ndarray, needs: tuple[int, int]) -> list[tuple]:
+    """``(level, keys, short, left)`` of one set, for the levels that it can be found by.
+
+    Level L: sets with enough in common share L tokens of the prefixes (in one order of all tokens)
+    behind which, with the L - 1 heaviest tokens before, less than needed is left. Keys are the
+    L-subsets of the prefix; ``short`` marks those within the prefix that the smaller set of a pair
+    needs, ``left`` is the weight from the subset's first token on."""
+    out = []
+    for level in LEVELS:
+        order = np.lexsort((t, df)) if level == 1 else np.lexsort((t, df, -w))
+        total = np.concatenate(([0], np.cumsum(w[order])))
+        bound = total[-1] - total + total[np.minimum(np.arange(len(total)), level - 1)]
+        if bound.min() >= needs[0]:
+            break
+        long, short = (int(np.argmax(bound < need)) for need in needs)
+        if level > 1 and comb(long, level) > SUBSETS:
+            break
+        chosen = np.arange(long)[:, None] if level == 1 else np.array(list(combinations(range(long), level)), np.int64)
+        keys = mix64(mix64(t[order].view(np.uint64))[chosen].sum(axis=1, dtype=np.uint64) + np.uint64(level)).view(np.int64)
+        out.append((level, keys, chosen[:, -1] < short, (total[-1] - total)[chosen[:, 0]]))
+    return out
+
+
+def prefix_pairs(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs ``a, b`` of different components that may be similar, by an exact filter on ``token_lists``.
+
+    With level 1, tokens are ordered from rare to common, and two sets with enough in common share one
+    of the first few (the shorter set needs fewer). Sets of a few heavy tokens, such as documents made
+    of paragraphs that many others hold, must share several: they meet on subsets of their heavy
+    tokens, so that a paragraph in common is no reason to compare them. A pair meets at the highest
+    level that both have."""
+    def packed(b: pa.RecordBatch, rows: list, parts: list) -> pa.RecordBatch:
+        which = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays(
+            [b.column(k).take(which) for k in (0, 1, 3)] + [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)],
+            ["rep", "n", "component", "key", "short", "left", "level", "top"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, t, df, w = token_columns(b.column(2))
+            rows, parts, size = [], [], 0
+            for i, n in enumerate(b.column(1).to_pylist()):
+                own = slice(at[i], at[i + 1])
+                needs = -(-percent * n // 100), -(-2 * percent * n // (100 + percent))
+                if w[own].sum() < needs[0]:
+                    continue
+                found = subset_keys(t[own], df[own], w[own], needs)
+                top = found[-1][0]
+                for level, keys, short, left in found:
+                    rows.append(np.full(len(keys), i))
+                    parts.append((keys, short, left, np.full(len(keys), level), np.full(len(keys), top)))
+                    size += len(keys)
+                if size > KEY_ROWS:
+                    yield packed(b, rows, parts)
+                    rows, parts, size = [], [], 0
+            if rows:
+                yield packed(b, rows, parts)
+
+    kinds = {f.name: f.dataType.simpleString() for f in lists.schema}
+    keys = written(lists.select("rep", "n", "tokens", "component").mapInArrow(
+        run, f"rep {kinds['rep']}, n long, component {kinds['component']}, key long, short boolean, left long, "
+             "level long, top long"), "prefixes")
+    partner = F.when(F.col("level") < F.col("top"), F.array("level")).otherwise(
+        F.filter(F.array(*[F.lit(x).cast("long") for x in LEVELS]), lambda v: v >= F.col("level")))
+    x = keys.where("short").select(
+        "key", F.explode(partner).alias("top"), F.col("rep").alias("x"), F.col("n").alias("nx"),
+        F.col("left").alias("lx"), F.col("component").alias("cx"))
+    y = keys.select("key", "top", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("left").alias("ly"),
+                    F.col("component").alias("cy"))
+    fits = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
     fits &= (F.col("cx") != F.col("cy")) & alike("nx", "ny", percent)
-    fits &= left >= part(percent, 100 + percent, F.col("nx") + F.col("ny"))
-    return x.join(y, (x["s"] == y["s"]) & fits).select(
+    fits &= (100 + percent) * F.least("lx", "ly") >= percent * (F.col("nx") + F.col("ny"))
+    return x.join(y, ["key", "top"]).where(fits).select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def token_links(pairs: DataFrame, lists: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``a, b`` whose whole shingle sets are alike enough, by the tokens they share."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ax, tx, _, wx = token_columns(b.column(3))
+            ay, ty, _, _ = token_columns(b.column(5))
+            good = []
+            for i, (n, m) in enumerate(zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                shared = np.isin(tx[ax[i]: ax[i + 1]], ty[ay[i]: ay[i + 1]], assume_unique=True)
+                both = int(wx[ax[i]: ax[i + 1]][shared].sum())
+                good.append(100 * both >= percent * (n + m - both))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    x = lists.select(F.col("rep").alias("a"), F.col("n").alias("nx"), F.col("tokens").alias("x"))
+    y = lists.select(F.col("rep").alias("b"), F.col("n").alias("ny"), F.col("tokens").alias("y"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "nx", "x", "ny", "y").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def links_between(reps: DataFrame, texts_of, percent: int = PERCENT) -> DataFrame:
     """Links ``a, b`` that connect all near-duplicates among the representatives ``rep, n, bands``."""
     members = reps.select("rep", "n", F.explode("bands").alias("bucket"))
@@ -204,8 +301,9 @@ def links_between(reps: DataFrame, texts_of, percent: int = PERCENT) -> DataFram
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     open_ = written(placed.join(mixed, "bucket", "left_semi").select("rep", "component").distinct(), "open")
     both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = written(prefix_pairs(texts, open_, percent).join(both, ["a", "b"], "left_anti"), "rest")
-    return links.unionByName(written(verified(rest, texts, percent), "rest-links"))
+    lists = written(token_lists(texts, open_), "tokens")
+    rest = written(prefix_pairs(lists, percent).join(both, ["a", "b"], "left_anti"), "rest")
+    return links.unionByName(written(token_links(rest, lists, percent), "rest-links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -372,6 +372,85 @@ def test_near_duplicates_of_one_edited_text(spark):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
+def shared_paragraphs(n, seed=5):
+    """Documents of 8 of 30 paragraphs, in a shuffled order, some with a word changed."""
+    rng = np.random.default_rng(seed)
+    parts = [" ".join(f"p{p}w{i}" for i in range(int(rng.integers(30, 60)))) for p in range(30)]
+    rows = []
+    for i in range(n):
+        chosen = [parts[p] for p in rng.permutation(30)[:8]]
+        rows.append((i, " ".join(chosen)))
+        if i % 25 == 0:
+            words = rows[-1][1].split()
+            words[int(rng.integers(len(words)))] = f"changed{i}"
+            rows.append((n + i, " ".join(words)))
+    return rows
+
+
+def test_near_duplicates_of_shared_paragraphs(spark):
+    rows = shared_paragraphs(400)
+    sets = {i: shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j, b in enumerate(ids):
+        for a in ids[:j]:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r.component_id for i, r in got.items()} == {i: top(i) for i in ids}
+
+
+def test_near_duplicate_filter_is_exact_and_selective(spark):
+    """All documents open: every pair alike enough is a candidate, and few others are."""
+    rows = shared_paragraphs(600)
+    texts = neardup.sequences(spark.createDataFrame(rows, "id long, text string")).dropDuplicates(["id"])
+    placed = texts.select(F.col("id").alias("rep"), F.col("id").alias("component"))
+    lists = neardup.written(neardup.token_lists(texts, placed), "test-lists")
+    pairs = neardup.written(neardup.prefix_pairs(lists), "test-pairs")
+    found = neardup.token_links(pairs, lists).count()
+    sets = [shingles(t) for _, t in rows]
+    alike = sum(100 * len(x & y) >= 75 * len(x | y) for j, x in enumerate(sets) for y in sets[:j])
+    assert found == alike >= 20
+    assert pairs.count() <= 0.01 * len(rows) * (len(rows) - 1) / 2  # single shingles: 19 %
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_subset_keys_meet(seed):
+    """Two sets with enough in common have a key of the level that both have, marked short in the smaller one."""
+    rng = np.random.default_rng(seed)
+    met = collections.Counter()
+    for _ in range(400):
+        size = int(rng.integers(3, 40))
+        t, df = rng.integers(-2**63, 2**63, size), rng.integers(2, 9, size)
+        w = rng.choice([1, 4, 50], size)
+        sides = []
+        for _ in range(2):
+            own = rng.random(size) < 0.93
+            sides.append((t[own], df[own], w[own], int(w[own].sum()) + int(rng.integers(0, 5))))
+        sides.sort(key=lambda x: x[3])
+        both = w[np.isin(t, sides[0][0]) & np.isin(t, sides[1][0])].sum()
+        if 100 * both < 75 * (sides[0][3] + sides[1][3] - both):
+            continue
+        x, y = (neardup.subset_keys(*s[:3], (-(-75 * s[3] // 100), -(-150 * s[3] // 175))) for s in sides)
+        level = min(x[-1][0], y[-1][0])
+        mine = {v[0]: v for v in x}[level]
+        other = {v[0]: v for v in y}[level]
+        shared = np.isin(mine[1], other[1]) & mine[2]
+        need = 75 * (sides[0][3] + sides[1][3])
+        lefts = dict(zip(other[1].tolist(), other[3].tolist(), strict=True))
+        assert any(175 * min(le, lefts[k]) >= need for k, le in zip(mine[1][shared].tolist(), mine[3][shared].tolist(), strict=True))
+        met[level] += 1
+    assert met[1] > 20 and sum(met[v] for v in (2, 4, 6)) > 20
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     rng = np.random.default_rng(10)
     texts = []
