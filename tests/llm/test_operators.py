@@ -427,7 +427,7 @@ def test_subset_keys_meet(seed):
     """Two sets with enough in common have a key of the level that both have, marked short in the smaller one."""
     rng = np.random.default_rng(seed)
     met = collections.Counter()
-    for _ in range(400):
+    for _ in range(2000):
         size = int(rng.integers(3, 40))
         t, df = rng.integers(-2**63, 2**63, size), rng.integers(2, 9, size)
         w = rng.choice([1, 4, 50], size)
