@@ -64,7 +64,7 @@ def rank_by_numeric(df: DataFrame, col: str, partition_by: list[str] | tuple[str
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = df.approxQuantile(col, probs, rel_err)
     splits = sorted(set(float(q) for q in qs if q is not None))
-    full = [float("-inf")] + splits + [float("inf")]
+    full = [float("-inf"), *(splits or [0.0]), float("inf")]  # an empty table has no quantiles
     tmp = df.withColumn("__qx", F.col(col).cast("double"))
     tmp = Bucketizer(splits=full, inputCol="__qx", outputCol="__qb", handleInvalid="keep").transform(tmp)
     bucket = F.col("__qb").cast("long")

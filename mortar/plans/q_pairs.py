@@ -1,18 +1,23 @@
-"""Catalog part 10: Gram models on two features, whose normal equations SQL can solve."""
+"""Catalog part 10: Gram models on two features, whose normal equations SQL can solve."""
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+
 from mortar.functions import features as fx
+from mortar.functions.hashing import h_sql
 from mortar.operators import evaluate as EV
 from mortar.operators import groups as G
 from mortar.operators import marks as MK
 from mortar.operators import metrics as M
+from mortar.operators import pipeline as PL
 from mortar.operators import splits as S
+from mortar.operators.loo import loo_sampled_metrics
 from mortar.plans import sql_blocks as Q
 from mortar.plans.q_eval import METRIC_DBL, MKEYS, summary_sql
 from mortar.plans.q_prep import GKF_CTES, KF_CTES, recursive
 from mortar.plans.registry import query, r6, round_sql, with_ctes
-from mortar.session import materialize
+from mortar.session import materialize, scratch_dir
 from mortar.sources.tables import TARGET, mix_valid
 
 PAIR = ["total_binder", "curing_temp_c"]
@@ -94,3 +99,34 @@ def metrics_loo_pair(spark, sf):
     """E3 + G12: exact leave-one-out of OLS on two features, scored on the pooled vector."""
     _, feats = _features(spark, sf)
     return r6(M.metrics_pooled(EV.loo_ols_predictions(feats, PAIR, TARGET, "pair")))
+
+
+LOO_VAL = "CAST(greatest(1, round_even((n_rows - 1) * 0.2, 0)) AS BIGINT)"
+
+
+@query("metrics_loo_sampled", round_sql(with_ctes(
+    "SELECT split, n, MSE, RMSE, R2, VAF, STD FROM met", mixv=Q.MIXV, d=DATA_SQL,
+    o=f"SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS fold, count(*) OVER () AS n_rows, "
+      f"row_number() OVER (ORDER BY {h_sql('0', chr(39) + 'loo' + chr(39), 'row_id')}, row_id) - 1 AS pos FROM d",
+    pair=f"SELECT f.fold, o.x1, o.x2, o.y, CASE WHEN o.pos - CASE WHEN o.pos > f.pos THEN 1 ELSE 0 END < {LOO_VAL.replace('n_rows', 'o.n_rows')} "
+         "THEN 'val' ELSE 'train' END AS split FROM o JOIN (SELECT fold, pos FROM o WHERE fold % 8 = 0) f ON o.pos <> f.pos",
+    sums=f"SELECT fold, {SUMS} FROM pair WHERE split = 'train' GROUP BY fold", coef=_betas_sql("fold,"),
+    pred="SELECT split, y AS actual, b0 + b1 * x1 + b2 * x2 AS predicted FROM pair "
+         "JOIN (SELECT * FROM coef WHERE model = 'Linear Regression') USING (fold)",
+    **Q.metrics_sql("pred", ["split"])), ["MSE", "RMSE", "R2", "VAF", "STD"]))
+def metrics_loo_sampled(spark, sf):
+    """E8 + G13: pooled train and validation metrics of every eighth leave-one-out fold, by downdates."""
+    _, feats = _features(spark, sf)
+    return r6(loo_sampled_metrics(feats, PAIR, TARGET, 8))
+
+
+@query("model_roundtrip", round_sql(with_ctes(
+    "SELECT row_id, b0 + b1 * x1 + b2 * x2 AS prediction FROM d, (SELECT * FROM coef WHERE model = 'Ridge')", mixv=Q.MIXV,
+    d=DATA_SQL, sums=f"SELECT {SUMS} FROM d", coef=_betas_sql("")), ["prediction"]))
+def model_roundtrip(spark, sf):
+    """A fitted ridge pipeline, saved to the shared folder, loaded again and applied to every row."""
+    _, feats = _features(spark, sf)
+    fitted = Pipeline(stages=[PL.GramRegression(features=PAIR, label=TARGET, solver="Ridge", options={"alpha": 1.0})]).fit(feats)
+    path = scratch_dir(spark, "champion-pipeline")
+    fitted.write().overwrite().save(path)
+    return r6(PL.load_champion(spark, path).transform(feats).select("row_id", "prediction"))
