@@ -80,7 +80,14 @@ def range_warnings(ranges: dict) -> Column:
         v = F.col(name)
         msg = F.concat(F.lit(f"{name}="), v.cast("string"), F.lit(f" outside [{lo}, {hi}]"))
         items.append(F.when(v.isNotNull() & ((v < F.lit(lo)) | (v > F.lit(hi))), msg))
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    return F.filter(F.array(*items).cast("array<string>"), lambda x: x.isNotNull())
+
+
+def learned_ranges(train: DataFrame, inputs: list[str]) -> dict:
+    """K6: ``{input: (least, greatest)}`` over train rows, one aggregate; inputs without a value are left out."""
+    row = train.agg(*[f(F.col(c).cast("double")).alias(f"{k}_{c}") for c in inputs
+                      for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    return {c: (row[f"lo_{c}"], row[f"hi_{c}"]) for c in inputs if row[f"lo_{c}"] is not None}
 
 
 # The raw inputs each app asks for.

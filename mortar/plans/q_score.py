@@ -82,6 +82,20 @@ def range_warnings_slump(spark, sf):
     return _warn_cols(fixture_scores(spark, sf, "slump"))
 
 
+@query("range_warnings_learned", with_ctes(
+    "SELECT row_id, CAST(len(outside) AS INTEGER) AS n_warnings, array_to_string(outside, ',') AS warning_inputs FROM "
+    "(SELECT row_id, list_filter([" + ", ".join(f"CASE WHEN {c} < lo_{c} OR {c} > hi_{c} THEN '{c}' END" for c in K.STRENGTH_INPUTS)
+    + "], lambda x: x IS NOT NULL) AS outside FROM mix, r)", mixv=Q.MIXV,
+    r="SELECT " + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in K.STRENGTH_INPUTS)
+      + " FROM mixv WHERE curing_temp_c <= 60"))
+def range_warnings_learned(spark, sf):
+    """K6: every request against the ranges of the train rows, here the mixes cured at 60 degrees or less."""
+    train = mix_valid(spark, sf).where("curing_temp_c <= 60")
+    found = K.range_warnings(K.learned_ranges(train, K.STRENGTH_INPUTS))
+    return _requests(spark, sf).select("row_id", F.size(found).alias("n_warnings"), F.concat_ws(
+        ",", F.transform(found, lambda w: F.substring_index(w, "=", 1))).alias("warning_inputs"))
+
+
 def champion(spark, sf, kind="strength"):
     """I14 + A7: refit a ridge champion on the serving features of every valid row."""
     base = mix_valid(spark, sf)

@@ -39,3 +39,15 @@ def test_null_features_and_errors(spark, rows):
         load_champion(spark, scratch_dir(spark, "no-champion"))
     with pytest.raises(ValueError):
         GramRegression(["a"], "y", "none such")
+
+
+def test_learned_ranges(spark):
+    from mortar.operators.score import learned_ranges, range_warnings
+    train = spark.createDataFrame([(1.0, None, 5.0), (3.0, None, None)], "a double, b double, c double")
+    ranges = learned_ranges(train, ["a", "b", "c"])
+    assert ranges == {"a": (1.0, 3.0), "c": (5.0, 5.0)}
+    rows = spark.createDataFrame([(3.0, 9.0, 5.0), (0.5, 9.0, 6.0), (None, 1.0, None)], "a double, b double, c double")
+    found = [r[0] for r in rows.select(range_warnings(ranges)).collect()]
+    assert found == [[], ["a=0.5 outside [1.0, 3.0]", "c=6.0 outside [5.0, 5.0]"], []]
+    assert learned_ranges(train.limit(0), ["a", "b"]) == {}
+    assert rows.select(range_warnings({}).alias("w")).where("size(w) > 0").count() == 0
