@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from mortar.operators import expanded as X
 from mortar.operators import extra_trees as ET
+from mortar.operators import hist_boost as HB
 from mortar.operators import neural as NN
 from mortar.operators import trees as TR
 from mortar.operators.evaluate import ModelSpec, gram_cv_predictions
@@ -124,6 +125,10 @@ def _extra_trees(features, folds, cols, label, feature_set, params):
     return ET.cv_predictions(features, folds, cols, label, feature_set, **clean(params))
 
 
+def _hist_boost(features, folds, cols, label, feature_set, params):
+    return HB.cv_predictions(features, folds, cols, label, feature_set, **clean(params))
+
+
 def _ridge_poly(features, folds, cols, label, feature_set, params):
     return X.ridge_poly_predictions(features, folds, cols, label, feature_set, **clean(params))
 
@@ -158,10 +163,11 @@ def _register_all() -> None:
     register_model("Linear Regression", [], _gram("Linear Regression"))
     for name in ("Ridge", "Lasso", "ElasticNet", "BayesianRidge", "PLS"):
         register_model(name, SPACES[name], _gram(name))
-    for name in ("Random Forest", "Gradient Boosting", "HistGradientBoosting", "XGBoost", "LightGBM", "CatBoost"):
+    for name in ("Random Forest", "Gradient Boosting", "XGBoost", "LightGBM", "CatBoost"):
         register_model(name, SPACES[name], _mllib(name))
     register_model("AdaBoost", SPACES["AdaBoost"], _ada)
     register_model("ExtraTrees", SPACES["ExtraTrees"], _extra_trees)
+    register_model("HistGradientBoosting", SPACES["HistGradientBoosting"], _hist_boost)
     register_model("Ridge+Poly", SPACES["Ridge+Poly"], _ridge_poly)
     register_model("GaussianProcess", SPACES["GaussianProcess"], _gp)
     register_model("SVR_RBF", SPACES["SVR_RBF"], _svr)

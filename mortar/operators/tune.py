@@ -233,7 +233,7 @@ def tune_fits(spark: SparkSession, model: str, features: DataFrame, folds: DataF
     def run(p: dict) -> float:
         scores = []
         for key in keys:
-            train, rows = trees.fold_frames(folds, assembled, key, model)
+            train, rows = trees.fold_frames(folds, assembled, key)
             held = trees.estimator(model, p).fit(train).transform(rows.where(F.col("split") == score_split))
             r = held.agg(F.sum((F.col("label") - F.col("prediction")) ** 2).alias("sse"), F.var_pop("label").alias("v"),
                          F.count(F.lit(1)).alias("n")).first()
