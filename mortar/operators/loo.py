@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mortar.functions.hashing import h
+from mortar.functions.hashing import order_key
 from mortar.operators import linear
 from mortar.operators.gram import collect_grams, gram_agg, shift_means
 from mortar.operators.rank import rank_by_numeric
@@ -58,7 +58,7 @@ def loo_sampled_metrics(features: DataFrame, cols: list[str], label: str, every:
     too small for a train part. ``row_id`` is unique; features and label hold no nulls."""
     spark = features.sparkSession
     data = features.select("row_id", *cols, label)
-    order = _hash_assign(data.select("row_id", F.lit(0).alias("repeat")), h(F.lit(seed), F.lit("loo"), F.col("row_id")),
+    order = _hash_assign(data.select("row_id", F.lit(0).alias("repeat")), order_key(F.lit(seed), F.lit("loo"), F.col("row_id")),
                          "row_id", ["repeat"], lambda r, n: r, "pos").select("row_id", "pos")
     rows = materialize(rank_by_numeric(data, "row_id", out="fold").join(order, "row_id"))
     n, p = rows.count(), len(cols)

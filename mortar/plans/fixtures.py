@@ -12,15 +12,13 @@ from mortar.operators import splits as S
 from mortar.sources.tables import TARGET, mix_valid
 
 
-def random_folds(spark, sf, repeats: int = 5):
-    return S.fold_table(mix_valid(spark, sf), "random", 5, repeats, 0)
+def random_folds(spark, sf, repeats: int = 5, data=None):
+    return S.fold_table(mix_valid(spark, sf), "random", 5, repeats, 0, data=data)
 
 
 def fixture_predictions(spark, sf):
-    from mortar.session import materialize
     m = mix_valid(spark, sf).select("row_id", F.col(TARGET).alias("actual"), "ggbfs")
-    f = materialize(random_folds(spark, sf))
-    return f.join(m, "row_id").select(
+    return random_folds(spark, sf, data=m).select(
         F.lit("fixture").alias("model"), F.lit("raw").alias("feature_set"), "regime", "repeat", "fold", "split",
         "row_id", "actual", (F.lit(20.0) + F.col("ggbfs") / F.lit(20.0)).alias("predicted"))
 

@@ -168,7 +168,7 @@ def _ood_sql():
 def ood_zscore(spark, sf):
     base = mix_valid(spark, sf)
     feats = fx.engineer(base, "engineered")
-    folds = S.fold_table(base, "random", 5, 5, 0)
+    folds = S.fold_table(base, "random", 5, 5, 0, data=feats)
     return r6(ST.ood_zscore(feats, folds, fx.ENGINEERED_12))
 
 
