@@ -7,15 +7,14 @@ from pyspark.ml import Pipeline
 from mortar.functions import features as fx
 from mortar.functions.hashing import h_sql
 from mortar.operators import evaluate as EV
-from mortar.operators import groups as G
 from mortar.operators import marks as MK
 from mortar.operators import metrics as M
 from mortar.operators import pipeline as PL
-from mortar.operators import splits as S
 from mortar.operators.loo import loo_sampled_metrics
 from mortar.plans import sql_blocks as Q
 from mortar.plans.q_eval import METRIC_DBL, MKEYS, summary_sql
 from mortar.plans.q_prep import GKF_CTES, KF_CTES, recursive
+from mortar.plans.q_tune import marked_features
 from mortar.plans.registry import query, r6, round_sql, with_ctes
 from mortar.session import materialize, scratch_dir
 from mortar.sources.tables import TARGET, mix_valid
@@ -72,9 +71,8 @@ def cv_pair_random(spark, sf):
                                                **Q.metrics_sql("pred", MKEYS)})))
 def cv_pair_group(spark, sf):
     """I1 over leakage-group folds, the same models."""
-    base, feats = _features(spark, sf)
-    folds = materialize(S.fold_table(base, "group", grouped=materialize(G.assign_groups(base))))
-    return r6(M.fold_summary(M.metrics_all(EV.gram_cv_predictions(feats, folds, PAIR, TARGET, SPECS, "pair"))))
+    marked = materialize(MK.group_marks(materialize(marked_features(mix_valid(spark, sf), PAIR), by=None)), by=None)
+    return r6(M.fold_summary(M.metrics_all(EV.marked_cv_predictions(marked, PAIR, TARGET, SPECS, "pair", regime="group"))))
 
 
 @query("refit_pair", round_sql(with_ctes("SELECT * FROM coef", mixv=Q.MIXV, d=DATA_SQL, sums=f"SELECT {SUMS} FROM d",
