@@ -20,7 +20,17 @@ def test_same_folds_as_the_long_table(spark):
         assert marked.count() == grouped.count()
         names = ["regime", "repeat", "fold", "row_id", "split"]
         got = sorted(tuple(r) for r in MK.fold_rows(marked, k, "group").select(*names).collect())
-        assert got == sorted(tuple(r) for r in S.fold_table(grouped, "group", k, grouped=grouped).select(*names).collect())
+        want = sorted(tuple(r) for r in S.inner_group_split(S.group_kfold(grouped, k), grouped, k).select(*names).collect())
+        assert got == want
+        assert want == sorted(tuple(r) for r in S.fold_table(grouped, "group", k, grouped=grouped).select(*names).collect())
+
+
+def test_fold_table_of_copies(spark):
+    grouped = grouped_rows(spark, n=60, groups=9)
+    twice = materialize(grouped.unionByName(grouped))
+    want = S.inner_group_split(S.group_kfold(twice), twice, 5)
+    got = S.fold_table(twice, "group", grouped=twice).select(*want.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
 def test_moments_and_rows_without_id(spark):
@@ -29,7 +39,8 @@ def test_moments_and_rows_without_id(spark):
         "group_id", F.lit(1000).cast("long"))))
     marked = materialize(MK.group_marks(grouped), by=None)
     got = MK.marked_moments(marked, ["x", "y"], regime="group")
-    want = fold_moments(grouped.select("row_id", "x", "y"), S.fold_table(grouped, "group", grouped=grouped), ["x", "y"])
+    long = S.inner_group_split(S.group_kfold(grouped), grouped, 5)
+    want = fold_moments(grouped.select("row_id", "x", "y"), long, ["x", "y"])
     assert got.keys() == want.keys()
     for key, parts in want.items():
         for split, m in parts.items():
