@@ -72,7 +72,8 @@ def cv_pair_random(spark, sf):
 def cv_pair_group(spark, sf):
     """I1 over leakage-group folds, the same models."""
     marked = materialize(MK.group_marks(materialize(marked_features(mix_valid(spark, sf), PAIR), by=None)), by=None)
-    return r6(M.fold_summary(M.metrics_all(EV.marked_cv_predictions(marked, PAIR, TARGET, SPECS, "pair", regime="group"))))
+    return r6(M.fold_summary(M.metrics_all(EV.marked_cv_predictions(marked, PAIR, TARGET, SPECS, "pair", regime="group",
+                                                                      copies=True))))
 
 
 @query("refit_pair", round_sql(with_ctes("SELECT * FROM coef", mixv=Q.MIXV, d=DATA_SQL, sums=f"SELECT {SUMS} FROM d",

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from mortar.operators import evaluate as EV
 from mortar.operators import marks as MK
 from mortar.operators import splits as S
 from mortar.operators.gram import fold_moments
@@ -46,3 +47,14 @@ def test_moments_and_rows_without_id(spark):
         for split, m in parts.items():
             own = got[key][split]
             assert own.n == m.n and abs(own.my - m.my) < 1e-9 and abs(own.sxy[0] - m.sxy[0]) < 1e-6
+
+
+def test_predictions_of_copies(spark):
+    grouped = grouped_rows(spark, n=60, groups=9)
+    grouped = materialize(grouped.unionByName(grouped.where("row_id < 20")))
+    spec = [EV.ModelSpec("Linear Regression", "Linear Regression")]
+    long = S.inner_group_split(S.group_kfold(grouped), grouped, 5)
+    want = EV.gram_cv_predictions(grouped, long, ["x"], "y", spec, "")
+    got = EV.marked_cv_predictions(materialize(MK.group_marks(grouped)), ["x"], "y", spec, "", regime="group", copies=True)
+    rows = [sorted((r["fold"], r["split"], r["row_id"], round(r["predicted"], 8)) for r in d.collect()) for d in (want, got)]
+    assert rows[0] == rows[1]
