@@ -578,6 +578,36 @@ def test_groups_are_split_by_quota_only(spark):
         assert sum(len(g) > 1 for g in groups.values()) <= most
 
 
+def test_rounds_bring_linked_rows_together(spark, monkeypatch):
+    held, real = [], sharding.propagate
+
+    def spy(nodes, links, *rest):
+        done = real(nodes, links, *rest)
+        held.extend([nodes.collect(), links.collect(), done.collect()])
+        return done
+
+    monkeypatch.setattr(sharding, "propagate", spy)
+    docs = spark.createDataFrame([(i, f"t{i // 6}") for i in range(1_200)] + [(10_000 + i, f"s{i}") for i in range(1_000)],
+                                 "doc_id long, text string")
+    check_shards(sharding.shard_rows(docs).collect())
+    start, links, done = ({r.id: r.label for r in held[0]}, held[1], {r.id: r.label for r in held[2]})
+    cut = [sum(at[r.a] != at[r.b] for r in links) for at in (start, done)]
+    assert cut[0] > 0.8 * len(links) and cut[1] < 0.1 * len(links)
+
+
+def test_cut_groups_are_gathered(spark):
+    links = [(i, i // 10 * 10) for i in range(100) if i % 10] + [(200, 201), (201, 202), (202, 203), (203, 204)]
+    near = [(i, i // 10 * 10) for i in range(100)] + [(200, 200), (201, 200), (202, 201), (203, 202), (204, 203)]
+    nodes = spark.createDataFrame([(i, i % 3 if i % 10 else 2) for i, _ in near], "id long, label int")
+    got = {r.id: r.label for r in sharding.gathered(nodes, spark.createDataFrame(near, "id long, near long"),
+                                                    spark.createDataFrame(links, "a long, b long")).collect()}
+    before = {r.id: r.label for r in nodes.collect()}
+    for g in range(0, 100, 10):
+        most = collections.Counter(before[i] for i in range(g, g + 10))
+        assert len({got[i] for i in range(g, g + 10)}) == 1 and most[got[g]] == max(most.values())
+    assert all(got[i] == before[i] for i in range(200, 205))  # its links leave every such group
+
+
 def test_propagation_goes_on_to_the_end(spark):
     links = [(i, i // 50 * 50) for i in range(1_500) if i % 50]  # scattered stars and a ring, room enough
     links += [(2_000 + i, 2_000 + (i + 1) % 40) for i in range(40)]
