@@ -24,7 +24,6 @@ from mortar.operators import neural as NN
 from mortar.operators import trees as TR
 from mortar.operators.evaluate import ModelSpec, gram_cv_predictions
 from mortar.operators.knn import knn_cv_predictions
-from mortar.session import materialize
 
 KEYS = ["regime", "repeat", "fold"]
 OUT = ["model", "feature_set", *KEYS, "split", "row_id", "actual", "predicted"]
@@ -150,10 +149,7 @@ def _knn(features, folds, cols, label, feature_set, params):
 def _mlp(features, folds, cols, label, feature_set, params):
     p = clean(params)
     widths = [int(p[f"units_l{i}"]) for i in range(int(p.get("n_layers", 1))) if f"units_l{i}" in p] or [32]
-    frame, zs = X.scaled_frame(features, folds, cols, label)
-    names = [f"z{i}" for i in range(len(zs))]
-    frame = materialize(frame.select(*KEYS, "split", "row_id", "actual", *[z.alias(c) for z, c in zip(zs, names)]))
-    return NN.mlp_predictions(frame, names, hidden=tuple(widths), seeds=(0,), name="MLP", feature_set=feature_set,
+    return NN.mlp_predictions(features, folds, cols, label, hidden=tuple(widths), seeds=(0,), name="MLP", feature_set=feature_set,
                               activation=p.get("activation", "relu"), alpha=p.get("alpha", 1e-4),
                               lr=p.get("learning_rate_init", 1e-2))
 
